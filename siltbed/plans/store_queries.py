@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltbed.operators import orphans
+from siltbed.operators import changes, orphans
 from siltbed.sources import store
 
 
@@ -16,7 +16,11 @@ def p1_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orphans.daily(orphans.replay(store.references(spark, sf_dir), store.targets(spark, sf_dir)))
 
 
-QUERIES = {"p1_found": p1_found, "p1_daily": p1_daily}
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return changes.current_keys(store.effective(store.table(spark, sf_dir, "oplog"))).select("store_id", "seq_id")
+
+
+QUERIES = {"p1_found": p1_found, "p1_daily": p1_daily, "p2_found": p2_found}
 
 _REFS = """
 refs AS (
@@ -59,4 +63,13 @@ grid AS (
 SELECT ref_table, d::DATE AS "day", orphans, open_at_end::BIGINT AS open_at_end
 FROM (SELECT *, open_at_end - coalesce(lag(open_at_end) OVER (PARTITION BY ref_table ORDER BY d), 0) opened FROM grid)
 WHERE orphans <> 0 OR opened <> 0""",
+    "p2_found": """
+WITH eff AS (
+  SELECT DISTINCT store_id, seq_id, op_type, key, value FROM oplog o
+  WHERE rec_type = 0 OR rec_type = 2 AND EXISTS (SELECT 1 FROM oplog c WHERE c.rec_type = 3 AND c.store_id = o.store_id AND c.txn_id = o.txn_id)),
+newest AS (
+  SELECT store_id, key, max(seq_id) seq_id, arg_max(op_type, seq_id) op_type FROM eff
+  WHERE op_type IN (0, 1) AND hex(key)[1:2] <> '01' GROUP BY store_id, key)
+SELECT store_id, seq_id FROM newest n WHERE op_type = 0 AND NOT EXISTS (
+  SELECT 1 FROM eff r WHERE r.op_type = 3 AND r.store_id = n.store_id AND r.seq_id > n.seq_id AND n.key BETWEEN r.key AND r.value)""",
 }

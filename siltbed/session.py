@@ -24,10 +24,10 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below scratch_root(), deleted when the application ends."""
-    path = f"{scratch_root(spark)}/siltbed/{name}-{uuid.uuid4().hex[:12]}"
-    _drop_at_end(spark, path)
-    return path
+    """A path not in use below scratch_root(), deleted when the application ends."""
+    app = f"{scratch_root(spark)}/siltbed/{spark.sparkContext.applicationId}"
+    _drop_at_end(spark, app)
+    return f"{app}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def _drop_at_end(spark: SparkSession, path: str) -> None:
