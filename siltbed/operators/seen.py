@@ -1,0 +1,142 @@
+"""Has this key been seen before? Log-structured sorted runs of key hashes on disk.
+
+Deliveries are taken in consecutive batches. A run is an immutable set of files in which the
+keys first seen in a batch lie by the range of their hash, sorted; the hash ranges are the
+fences, written as a partition column, and the row groups' statistics fence the blocks inside.
+A batch is reduced to its distinct keys, which probe every run by a merge join on the hash
+range and hash; a hit counts only if the full key is equal. When a level has as many runs as
+the fan-out, they are merged into one run of the next level. No set of keys is held in memory.
+
+The keys of each run are new to all earlier ones, so at the end the runs hold the first
+delivery of every key, and all other deliveries were seen before.
+
+Nulls: a row without group, key or delivery number is neither seen nor does it make a key
+seen. Rows that share a delivery number don't precede each other.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass, field
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from siltbed.session import scratch
+
+#: Batches that a whole history is cut into, runs of a level before they are merged, and hash ranges.
+BATCHES, FAN_OUT, RANGES = 4, 2, 64
+
+
+def hash_keys(rows: DataFrame, bits: int = 64) -> DataFrame:
+    """rows (grp, key, delivery_id) with the hash of group and key, cut to its lowest bits, and the hash range."""
+    h = F.xxhash64("grp", "key")
+    if bits < 64:
+        h = h.bitwiseAND(F.lit((1 << bits) - 1))
+    return rows.withColumn("h", h).withColumn("fence", F.shiftrightunsigned("h", max(0, bits - 6)).cast("int"))
+
+
+@dataclass
+class Runs:
+    """Levels of immutable runs below one folder."""
+
+    spark: SparkSession
+    path: str
+    bits: int = 64
+    fan_out: int = FAN_OUT
+    levels: list[list[str]] = field(default_factory=lambda: [[]])
+    written: int = 0
+
+    SCHEMA = "h long, grp int, key binary, first_id long, fence int"
+
+    def _write(self, keys: DataFrame) -> str:
+        to = f"{self.path}/run-{self.written}"
+        self.written += 1
+        # By a range of the hash a task, so that each task writes the files of few fences.
+        keys.repartitionByRange("fence", "h").sortWithinPartitions("fence", "h").select("h", "grp", "key", "first_id", "fence").write.partitionBy("fence").parquet(to)
+        return to
+
+    def read(self) -> list[DataFrame]:
+        return [self.spark.read.schema(self.SCHEMA).parquet(p) for level in self.levels for p in level]
+
+    def compact(self) -> None:
+        """Merge each level that has too many runs, lowest first."""
+        k = 0
+        while k < len(self.levels):
+            if len(self.levels[k]) >= self.fan_out:
+                runs = [self.spark.read.schema(self.SCHEMA).parquet(p) for p in self.levels[k]]
+                merged = runs[0]
+                for run in runs[1:]:
+                    merged = merged.unionByName(run)
+                if k + 1 == len(self.levels):
+                    self.levels.append([])
+                self.levels[k + 1].append(self._write(merged))
+                self.levels[k] = []
+            k += 1
+
+    def add(self, batch: DataFrame) -> None:
+        """Add the keys of a batch (grp, key, delivery_id) that no run has; earlier batches hold only smaller delivery numbers."""
+        self.compact()
+        keys = hash_keys(batch, self.bits).groupBy("fence", "h", "grp", "key").agg(F.min("delivery_id").alias("first_id"))
+        for run in self.read():
+            same = ["fence", "h", "grp", "key"]  # the hash finds, the full key decides
+            keys = keys.join(run.select(*same).hint("merge"), same, "left_anti")
+        self.levels[0].append(self._write(keys))
+
+    def hash_hits(self, keys: DataFrame) -> DataFrame:
+        """Pairs of a key in keys (fence, h, grp, key, delivery_id) with an earlier, other key of equal hash: delivery_id, grp."""
+        runs = self.read()
+        index = runs[0]
+        for run in runs[1:]:
+            index = index.unionByName(run)
+        other = index.select("fence", "h", F.col("grp").alias("other_grp"), F.col("key").alias("other_key"), F.col("first_id").alias("other_id"))
+        hit = keys.join(other.hint("merge"), ["fence", "h"]).where("other_id < delivery_id and (other_grp != grp or other_key != key)")
+        return hit.select("delivery_id", "grp").distinct()
+
+
+def index_deliveries(rows: DataFrame, batches: int = BATCHES, bits: int = 64) -> Runs:
+    """Runs with the first delivery of every key of rows (grp int, key, delivery_id), taken in that many batches."""
+    spark = rows.sparkSession
+    rows = rows.where("grp is not null and key is not null and delivery_id is not null")
+    span = rows.agg(F.min("delivery_id").alias("lo"), F.max("delivery_id").alias("hi")).first()
+    runs = Runs(spark, scratch(spark, "seen"), bits)
+    lo, hi = span.lo or 0, (span.hi or 0) + 1
+    cuts = sorted({lo + (hi - lo) * k // batches for k in range(batches)} | {hi})
+    for since, till in zip(cuts, cuts[1:]):
+        runs.add(rows.where((F.col("delivery_id") >= since) & (F.col("delivery_id") < till)))
+    return runs
+
+
+def firsts(runs: Runs) -> DataFrame:
+    """grp, h, first_id of every key."""
+    every = [run.select("grp", "h", "first_id") for run in runs.read()]
+    out = every[0]
+    for more in every[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def seen_before(rows: DataFrame, batches: int = BATCHES, bits: int = 64) -> DataFrame:
+    """delivery_id of each row (grp int, key, delivery_id) whose key its group has had at a smaller delivery_id."""
+    rows = rows.where("grp is not null and key is not null and delivery_id is not null")
+    first = firsts(index_deliveries(rows, batches, bits)).select("h", F.col("first_id").alias("delivery_id"))
+    # The hash keeps rows apart that share a delivery number against the rule.
+    return hash_keys(rows, bits).select("delivery_id", "h").join(first, ["delivery_id", "h"], "left_anti").select("delivery_id")
+
+
+def error_rate(rows: DataFrame, batches: int = BATCHES, bits: int = 64) -> DataFrame:
+    """Per group: decisions, rows seen before, and what hashes alone would have got wrong.
+
+    A decision by hash alone is wrong where an earlier key of equal hash differs and the own
+    key is new. Decisions of seen_before() compare full keys, so none of them is wrong.
+    """
+    rows = rows.where("grp is not null and key is not null and delivery_id is not null")
+    runs = index_deliveries(rows, batches, bits)
+    new = hash_keys(rows, bits).join(firsts(runs).select("h", F.col("first_id").alias("delivery_id")), ["delivery_id", "h"])
+    wrong = runs.hash_hits(new).groupBy("grp").agg(F.countDistinct("delivery_id").alias("wrong_by_hash"))
+    total = rows.groupBy("grp").agg(F.count("*").alias("decisions"))
+    first = firsts(runs).groupBy("grp").agg(F.count("*").alias("new_keys"))
+    out = total.join(first, "grp").join(wrong, "grp", "left").na.fill(0, ["wrong_by_hash"])
+    return out.select(
+        "grp", "decisions", (F.col("decisions") - F.col("new_keys")).alias("seen"), "wrong_by_hash",
+        F.lit(0).cast("long").alias("wrong"), (F.col("wrong_by_hash") / F.col("decisions")).alias("rate_by_hash"),
+    )

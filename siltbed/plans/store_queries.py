@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from siltbed.operators import changes, orphans
+from siltbed.operators import changes, orphans, seen, smallfiles
+from siltbed.session import scratch
 from siltbed.sources import store
 
 
@@ -20,7 +22,40 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.current_keys(store.effective(store.table(spark, sf_dir, "oplog"))).select("store_id", "seq_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_daily": p1_daily, "p2_found": p2_found}
+def _keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    oplog = store.table(spark, sf_dir, "oplog").where("rec_type in (0, 2) and op_type in (0, 1, 2)")
+    return oplog.selectExpr("store_id as grp", "key", "delivery_id")
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return seen.seen_before(_keyed(spark, sf_dir))
+
+
+def p3_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return seen.error_rate(_keyed(spark, sf_dir)).withColumnRenamed("grp", "store_id")
+
+
+def _compacted(spark: SparkSession, sf_dir: str) -> tuple[smallfiles.CompactedTable, DataFrame, DataFrame]:
+    records, manifest = store.table(spark, sf_dir, "sst_records"), store.table(spark, sf_dir, "sstable_manifest")
+    compacted = smallfiles.CompactedTable(spark, scratch(spark, "compacted"))
+    compacted.compact(records, manifest, relist=lambda: store.table(spark, sf_dir, "sstable_manifest"))
+    return compacted, records, manifest
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    compacted, records, manifest = _compacted(spark, sf_dir)
+    return compacted.read(records, manifest).select("store_id", "layer", "seq_id")
+
+
+def p4_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per store and layer: small files listed, and records held after the rewrite."""
+    compacted, records, manifest = _compacted(spark, sf_dir)
+    held = compacted.read(records, manifest).groupBy("store_id", "layer").agg(F.count("*").alias("records"))
+    small = smallfiles.fingerprints(smallfiles.listing(manifest)).select("store_id", "layer", "files", "small")
+    return small.join(held, ["store_id", "layer"], "left").na.fill(0, ["records"])
+
+
+QUERIES = {"p1_found": p1_found, "p1_daily": p1_daily, "p2_found": p2_found, "p3_found": p3_found, "p3_error_rate": p3_error_rate, "p4_found": p4_found, "p4_layout": p4_layout}
 
 _REFS = """
 refs AS (
@@ -72,4 +107,21 @@ newest AS (
   WHERE op_type IN (0, 1) AND hex(key)[1:2] <> '01' GROUP BY store_id, key)
 SELECT store_id, seq_id FROM newest n WHERE op_type = 0 AND NOT EXISTS (
   SELECT 1 FROM eff r WHERE r.op_type = 3 AND r.store_id = n.store_id AND r.seq_id > n.seq_id AND n.key BETWEEN r.key AND r.value)""",
+    "p3_found": """
+WITH rows AS (SELECT store_id, key, delivery_id FROM oplog WHERE rec_type IN (0, 2) AND op_type IN (0, 1, 2)),
+first AS (SELECT store_id, key, min(delivery_id) first_id FROM rows GROUP BY store_id, key)
+SELECT delivery_id FROM rows JOIN first USING (store_id, key) WHERE delivery_id > first_id""",
+    "p3_error_rate": """
+SELECT store_id, count(*) AS decisions, count(*) - count(DISTINCT key) AS seen, 0::BIGINT AS wrong_by_hash, 0::BIGINT AS wrong, 0.0::DOUBLE AS rate_by_hash
+FROM oplog WHERE rec_type IN (0, 2) AND op_type IN (0, 1, 2) GROUP BY store_id""",
+    "p4_found": """
+SELECT DISTINCT m.store_id, m.layer, s.seq_id FROM sst_records s JOIN sstable_manifest m
+ON m.store_id = s.store_id AND regexp_extract(m.base_file_name, '[^/]*$') = s.file_name WHERE m.removed_at IS NULL""",
+    "p4_layout": """
+WITH listed AS (
+  SELECT store_id, layer, regexp_extract(base_file_name, '[^/]*$') file_name, max(size_bytes) size_bytes FROM sstable_manifest
+  WHERE removed_at IS NULL AND trim(base_file_name) <> '' GROUP BY ALL),
+held AS (SELECT store_id, layer, count(DISTINCT seq_id) records FROM listed JOIN sst_records USING (store_id, file_name) GROUP BY ALL),
+parts AS (SELECT store_id, layer, count(*) files, count(*) FILTER (size_bytes < 1048576) small FROM listed GROUP BY ALL)
+SELECT store_id, layer, files, small, coalesce(records, 0) AS records FROM parts LEFT JOIN held USING (store_id, layer)""",
 }
