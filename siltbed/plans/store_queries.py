@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltbed.operators import changes, orphans, seen, smallfiles
-from siltbed.session import scratch
+from siltbed.operators import changes, newonly, orphans, seen, smallfiles
+from siltbed.session import scratch, settle
 from siltbed.sources import store
 
 
@@ -55,7 +55,25 @@ def p4_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return small.join(held, ["store_id", "layer"], "left").na.fill(0, ["records"])
 
 
-QUERIES = {"p1_found": p1_found, "p1_daily": p1_daily, "p2_found": p2_found, "p3_found": p3_found, "p3_error_rate": p3_error_rate, "p4_found": p4_found, "p4_layout": p4_layout}
+def _new_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = settle(newonly.log_items(store.table(spark, sf_dir, "oplog")), scratch(spark, "records"))
+    files = newonly.file_items(store.table(spark, sf_dir, "store_files"))
+    tracker = newonly.Tracker(spark, scratch(spark, "new"))
+    done = newonly.flushed(records, store.table(spark, sf_dir, "flush_runs"))
+    tracker.restore(done.unionByName(newonly.backed_up(files, store.table(spark, sf_dir, "backups"))))
+    return tracker.run(records.unionByName(files.drop("file_name")))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _new_items(spark, sf_dir).select("kind", "store_id", "item_id")
+
+
+def p5_backlog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items to do, per kind and store."""
+    return _new_items(spark, sf_dir).groupBy("kind", "store_id").agg(F.count("*").alias("items"), F.min("item_id").alias("first_item"), F.max("item_id").alias("last_item"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_daily": p1_daily, "p2_found": p2_found, "p3_found": p3_found, "p3_error_rate": p3_error_rate, "p4_found": p4_found, "p4_layout": p4_layout, "p5_found": p5_found, "p5_backlog": p5_backlog}
 
 _REFS = """
 refs AS (
@@ -76,6 +94,21 @@ orphans AS (
     SELECT 1 FROM targets t WHERE t.ref_table = r.ref_table AND t.store_id = r.store_id AND t.target = r.target
       AND t.starts <= r.tm AND (t.ends IS NULL OR t.ends > r.tm)))"""
 
+_NEW = """
+records AS (
+  SELECT store_id, seq_id, min(arrived_at) arrived FROM oplog WHERE rec_type IN (0, 2) AND store_id IS NOT NULL AND seq_id IS NOT NULL GROUP BY ALL),
+good AS (
+  SELECT store_id, flushed_up_to_seq_id mark, max(started_at) started FROM flush_runs WHERE lower(trim(status)) = 'ok' GROUP BY ALL),
+saved AS (
+  SELECT store_id, regexp_extract(f, '[^/]*$') file_name, max(make_timestamp(ts * 1000000)) taken
+  FROM (SELECT store_id, ts, unnest(new_files) f FROM backups WHERE lower(trim(status)) = 'complete') GROUP BY ALL),
+fresh AS (
+  SELECT 'record' kind, store_id, seq_id item_id FROM records r WHERE NOT EXISTS (
+    SELECT 1 FROM good g WHERE g.store_id = r.store_id AND g.mark >= r.seq_id AND g.started >= r.arrived)
+  UNION ALL
+  SELECT 'file', store_id, file_id FROM store_files f WHERE dir = 'data' AND deleted_at IS NULL AND NOT EXISTS (
+    SELECT 1 FROM saved s WHERE s.store_id = f.store_id AND s.file_name = f.file_name AND s.taken >= f.modified_at))"""
+
 SQL = {
     "p1_found": f"WITH {_REFS} SELECT ref_table, ref_id FROM orphans",
     "p1_daily": f"""
@@ -124,4 +157,6 @@ WITH listed AS (
 held AS (SELECT store_id, layer, count(DISTINCT seq_id) records FROM listed JOIN sst_records USING (store_id, file_name) GROUP BY ALL),
 parts AS (SELECT store_id, layer, count(*) files, count(*) FILTER (size_bytes < 1048576) small FROM listed GROUP BY ALL)
 SELECT store_id, layer, files, small, coalesce(records, 0) AS records FROM parts LEFT JOIN held USING (store_id, layer)""",
+    "p5_found": f"WITH {_NEW} SELECT kind, store_id, item_id FROM fresh",
+    "p5_backlog": f"WITH {_NEW} SELECT kind, store_id, count(*) AS items, min(item_id) AS first_item, max(item_id) AS last_item FROM fresh GROUP BY kind, store_id",
 }
