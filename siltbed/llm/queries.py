@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siltbed.llm import leakage
+from siltbed.llm import leakage, subjects
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,5 +24,21 @@ def p6_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.where("copies > 0 or reparameterised > 0")
 
 
-QUERIES = {"p6_found": p6_found, "p6_items": p6_items}
+def _subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subjects.subjects_of(*(_table(spark, sf_dir, t) for t in ("documents", "subject_samples", "subjects")))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _subjects(spark, sf_dir).where(F.col("share") >= subjects.SHARE).select("doc_id", "subject").distinct()
+
+
+def p8_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per subject: documents that have it, sentences, and its part of all sentences with a subject."""
+    each = _subjects(spark, sf_dir)
+    per = each.groupBy("subject").agg(F.count_if(F.col("share") >= subjects.SHARE).alias("documents"), F.sum("sentences").alias("sentences"))
+    everything = Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # a row a subject
+    return per.withColumn("share", F.col("sentences") / F.sum("sentences").over(everything))
+
+
+QUERIES = {"p6_found": p6_found, "p6_items": p6_items, "p8_found": p8_found, "p8_composition": p8_composition}
 SQL: dict[str, str] = {}
