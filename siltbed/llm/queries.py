@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siltbed.llm import leakage, subjects
+from siltbed.llm import leakage, mixing, subjects
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,5 +40,18 @@ def p8_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.withColumn("share", F.col("sentences") / F.sum("sentences").over(everything))
 
 
-QUERIES = {"p6_found": p6_found, "p6_items": p6_items, "p8_found": p8_found, "p8_composition": p8_composition}
+def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    documents = _table(spark, sf_dir, "documents").withColumnRenamed("post_type", "domain")
+    return mixing.mix(documents, _table(spark, sf_dir, "source_targets"))
+
+
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mix(spark, sf_dir)[0]
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mix(spark, sf_dir)[1]
+
+
+QUERIES = {"p6_found": p6_found, "p6_items": p6_items, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_composition": p8_composition}
 SQL: dict[str, str] = {}
