@@ -1,4 +1,4 @@
-"""Which points of a key space does a newer range cover? An interval anti-join without a nested loop.
+"""Which range of highest sequence id covers a point of a key space? An interval join without a nested loop.
 
 Key space and points are cut into buckets at sampled keys (any cut is right; the sample only
 balances). A range enters the buckets of its two ends; the buckets between are covered whole,
@@ -49,10 +49,11 @@ def _cuts(points: DataFrame, ranges: DataFrame) -> list[tuple[int, bytes]]:
 
 
 def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows by bucket, space and key, ranges before points of the same key; yields the points left."""
+    """Rows by bucket, space and key, ranges before points of the same key; yields the points with the highest range over them."""
     at, active = None, []
     for batch in batches:
-        keep: list[int] = []
+        points: list[int] = []
+        cover: list[int | None] = []
         cols = [batch.column(i).to_pylist() for i in range(6)]
         for i, (bucket, space, key, hi, seq, is_point) in enumerate(zip(*cols)):
             if (bucket, space) != at:
@@ -62,14 +63,14 @@ def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             while active and active[0][1] is not None and active[0][1] < key:
                 heapq.heappop(active)
-            if not active or -active[0][0] < seq:
-                keep.append(i)
-        left = batch.take(pa.array(keep, pa.int64()))
-        yield pa.RecordBatch.from_arrays([left.column(1), left.column(2), left.column(4)], ["space", "key", "seq_id"])
+            points.append(i)
+            cover.append(-active[0][0] if active else None)
+        left = batch.take(pa.array(points, pa.int64()))
+        yield pa.RecordBatch.from_arrays([left.column(1), left.column(2), left.column(4), pa.array(cover, pa.int64())], ["space", "key", "seq_id", "cover_seq"])
 
 
-def uncovered(points: DataFrame, ranges: DataFrame) -> DataFrame:
-    """The points (space long, key, seq_id) that no range (space long, lo, hi, seq_id) of higher seq_id covers; both ends are inclusive.
+def covering(points: DataFrame, ranges: DataFrame) -> DataFrame:
+    """The points (space long, key, seq_id) with cover_seq, the highest seq_id of a range (space long, lo, hi, seq_id) over them; both ends are inclusive.
 
     Rows with a null in any of these columns are no points and no ranges; a range whose end
     precedes its beginning covers nothing. Both inputs are read twice, so they should be
@@ -109,4 +110,9 @@ def uncovered(points: DataFrame, ranges: DataFrame) -> DataFrame:
         .sortWithinPartitions("bucket", "space", "key", "is_point")
         .select("bucket", "space", "key", "hi", "seq_id", "is_point")
     )
-    return swept.mapInArrow(_sweep, "space long, key binary, seq_id long")
+    return swept.mapInArrow(_sweep, "space long, key binary, seq_id long, cover_seq long")
+
+
+def uncovered(points: DataFrame, ranges: DataFrame) -> DataFrame:
+    """The points that no range of higher seq_id covers; see covering()."""
+    return covering(points, ranges).where("cover_seq is null or cover_seq <= seq_id").drop("cover_seq")
