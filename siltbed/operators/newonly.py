@@ -105,7 +105,7 @@ class Tracker:
         """Publish what history says is done as a version of its own, without output."""
         version = self.version() + 1
         to = self._folder(version)
-        kept = settle(items.withColumn("leaf", F.floor(F.col("item_id") / LEAF)), f"{to}/items")
+        kept = settle(items.select(*ITEM).where(" and ".join(f"{c} is not null" for c in ITEM)).distinct().withColumn("leaf", F.floor(F.col("item_id") / LEAF)), f"{to}/items")
         tree(kept, f"{to}/tree")
         self._publish(version)
 
@@ -113,7 +113,7 @@ class Tracker:
         """Find, publish and return the items (kind, store_id, item_id, version) that are new or changed since the last version."""
         last = self.version()
         to = self._folder(last + 1)
-        kept = settle(items.withColumn("leaf", F.floor(F.col("item_id") / LEAF)), f"{to}/items")
+        kept = settle(items.select(*ITEM).where(" and ".join(f"{c} is not null" for c in ITEM)).distinct().withColumn("leaf", F.floor(F.col("item_id") / LEAF)), f"{to}/items")
         nodes, new = tree(kept, f"{to}/tree"), kept
         if last:
             read = self.spark.read
@@ -151,7 +151,7 @@ def flushed(items: DataFrame, runs: DataFrame) -> DataFrame:
     marks = good.groupBy("store_id", F.col("flushed_up_to_seq_id").alias("mark")).agg(F.max(micros(F.col("started_at"))).alias("start"))
     marks = marks.withColumn("leaf", F.floor(F.col("mark") / LEAF))
     own = marks.groupBy("store_id", "leaf").agg(F.max("start").alias("latest"), F.collect_list(F.struct("mark", "start")).alias("marks"))
-    placed = items.withColumn("leaf", F.floor(F.col("item_id") / LEAF))
+    placed = items.select(*ITEM).withColumn("leaf", F.floor(F.col("item_id") / LEAF))
     leaves = placed.select("store_id", "leaf").distinct().join(own, ["store_id", "leaf"], "full")
     above = Window.partitionBy("store_id").orderBy(F.col("leaf").desc()).rowsBetween(Window.unboundedPreceding, -1)
     leaves = leaves.withColumn("above", F.max("latest").over(above)).select("store_id", "leaf", "above", "marks")
@@ -165,4 +165,4 @@ def backed_up(files: DataFrame, backups: DataFrame) -> DataFrame:
     good = backups.where(is_word(F.col("status"), "complete") & F.col("ts").isNotNull())
     names = good.select("store_id", micros(epoch_seconds(F.col("ts"))).alias("taken"), F.explode("new_files").alias("name"))
     latest = names.groupBy("store_id", last_component(F.col("name")).alias("file_name")).agg(F.max("taken").alias("taken"))
-    return files.join(latest, ["store_id", "file_name"]).where("taken >= version").select(*ITEM)
+    return files.select(*ITEM, "file_name").join(latest, ["store_id", "file_name"]).where("taken >= version").select(*ITEM)

@@ -12,7 +12,8 @@ difference it gives up with Conflict and changes nothing. Readers take a partiti
 the last snapshot names it with the listing's present fingerprint, else from the small files.
 
 Nulls: an entry without store, layer or name lists nothing; a record without sequence id is
-none. Records of one partition with equal key and sequence id are one.
+none. Records of one partition with equal key and sequence id are one. A column "layer" of the records is
+replaced by the layer of the listing.
 """
 
 from __future__ import annotations
@@ -57,7 +58,7 @@ def listed_records(records: DataFrame, listed: DataFrame) -> DataFrame:
     names = listed.select(*PART, "file_name")
     if names.count() <= BROADCAST_NAMES:
         names = F.broadcast(names)
-    return records.where("seq_id is not null").join(names, ["store_id", "file_name"])
+    return records.drop("layer").where("seq_id is not null").join(names, ["store_id", "file_name"])
 
 
 @dataclass

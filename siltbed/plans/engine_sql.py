@@ -255,7 +255,7 @@ SELECT listener_id, 'RANGEDEL' AS type, count(*) AS events, min(k) AS first_key,
 FROM eff JOIN hexsubs ON (lo = '' OR lo <= v) AND (up = '' OR up >= k) WHERE op_type = 3 AND k <= v GROUP BY listener_id""",
     "token_bucket_admission": """
 WITH RECURSIVE calls AS (
-  SELECT user_id, event_id, epoch_ms(ts) at_ms, row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts), event_id) rn FROM events),
+  SELECT user_id, event_id, epoch_us(ts) // 1000 at_ms, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) rn FROM events),
 fold AS (
   SELECT user_id, event_id, at_ms, rn, 2 AS tokens, at_ms AS refilled, true AS admitted FROM calls WHERE rn = 1
   UNION ALL

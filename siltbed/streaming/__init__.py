@@ -1,0 +1 @@
+"""The operators on endless logs, with Structured Streaming."""
