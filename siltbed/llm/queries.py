@@ -41,7 +41,7 @@ def p8_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    documents = _table(spark, sf_dir, "documents").withColumnRenamed("post_type", "domain")
+    documents = _table(spark, sf_dir, "documents").select("doc_id", F.col("post_type").alias("domain"), "lang", "source", "text")
     return mixing.mix(documents, _table(spark, sf_dir, "source_targets"))
 
 
