@@ -29,7 +29,7 @@ PART = ["store_id", "layer"]
 #: A file below this size is small; a partition may list so many of them; wanted bytes of input a new file.
 SMALL_BYTES, SMALL_FILES, FILE_BYTES = 1 << 20, 8, 64 << 20
 #: A listing of at most so many names (under 100 bytes each) is sent to the executors; a longer one is joined by merging.
-BROADCAST_NAMES = 200_000
+BROADCAST_NAMES = 50_000
 
 
 class Conflict(RuntimeError):

@@ -44,7 +44,7 @@ def _compacted(spark: SparkSession, sf_dir: str) -> tuple[smallfiles.CompactedTa
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     compacted, records, manifest = _compacted(spark, sf_dir)
-    return compacted.read(records, manifest).select("store_id", "layer", "seq_id")
+    return compacted.read(records, manifest).select("store_id", "layer", "seq_id").distinct()
 
 
 def p4_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
