@@ -101,19 +101,27 @@ class Tracker:
         jvm, fs, root = self._fs()
         fs.create(jvm.org.apache.hadoop.fs.Path(root, str(version)), False).close()
 
-    def restore(self, items: DataFrame) -> None:
+    @staticmethod
+    def _kept(items: DataFrame, unique: bool, to: str) -> DataFrame:
+        rows = items.select(*ITEM).where(" and ".join(f"{c} is not null" for c in ITEM))
+        return settle((rows if unique else rows.distinct()).withColumn("leaf", F.floor(F.col("item_id") / LEAF)), f"{to}/items")
+
+    def restore(self, items: DataFrame, unique: bool = False) -> None:
         """Publish what history says is done as a version of its own, without output."""
         version = self.version() + 1
         to = self._folder(version)
-        kept = settle(items.select(*ITEM).where(" and ".join(f"{c} is not null" for c in ITEM)).distinct().withColumn("leaf", F.floor(F.col("item_id") / LEAF)), f"{to}/items")
+        kept = self._kept(items, unique, to)
         tree(kept, f"{to}/tree")
         self._publish(version)
 
-    def run(self, items: DataFrame) -> DataFrame:
-        """Find, publish and return the items (kind, store_id, item_id, version) that are new or changed since the last version."""
+    def run(self, items: DataFrame, unique: bool = False) -> DataFrame:
+        """Find, publish and return the items (kind, store_id, item_id, version) that are new or changed since the last version.
+
+        unique: no item comes twice, as from log_items() and file_items(), so no copies are looked for.
+        """
         last = self.version()
         to = self._folder(last + 1)
-        kept = settle(items.select(*ITEM).where(" and ".join(f"{c} is not null" for c in ITEM)).distinct().withColumn("leaf", F.floor(F.col("item_id") / LEAF)), f"{to}/items")
+        kept = self._kept(items, unique, to)
         nodes, new = tree(kept, f"{to}/tree"), kept
         if last:
             read = self.spark.read

@@ -60,8 +60,8 @@ def _new_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = newonly.file_items(store.table(spark, sf_dir, "store_files"))
     tracker = newonly.Tracker(spark, scratch(spark, "new"))
     done = newonly.flushed(records, store.table(spark, sf_dir, "flush_runs"))
-    tracker.restore(done.unionByName(newonly.backed_up(files, store.table(spark, sf_dir, "backups"))))
-    return tracker.run(records.unionByName(files.drop("file_name")))
+    tracker.restore(done.unionByName(newonly.backed_up(files, store.table(spark, sf_dir, "backups"))), unique=True)
+    return tracker.run(records.unionByName(files.drop("file_name")), unique=True)
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
