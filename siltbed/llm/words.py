@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from functools import lru_cache
 
 # Characters without width, and letters of other scripts that look like Latin ones.
 _UNSEEN = re.compile("[­͏᠎​-‏⁠-⁤︀-️﻿]")
@@ -26,8 +27,9 @@ def clean(text: str) -> str:
     return _JOINER.sub("", _BROKEN.sub("", text))
 
 
+@lru_cache(maxsize=100_000)
 def fold(word: str) -> str:
-    """A word without case and accents."""
+    """A word without case and accents; the last words are remembered, as most words come again."""
     return "".join(c for c in unicodedata.normalize("NFD", word.casefold()) if not unicodedata.combining(c))
 
 
