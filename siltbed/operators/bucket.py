@@ -11,6 +11,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from siltbed.session import ship
+
 
 def step(tokens: int, refilled: int | None, at: int, most: int, interval: int) -> tuple[int, int, bool]:
     """Tokens left, time of the last refill, and whether the call at that time is admitted."""
@@ -25,6 +27,8 @@ def admissions(calls: DataFrame, max_tokens: int, interval_ms: int) -> DataFrame
     Calls of equal time are taken by call_id. Calls without a time or bucket are left out.
     """
 
+    ship(calls.sparkSession)
+
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, tokens, refilled = None, 0, None
         for batch in batches:

@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siltbed.session import ship
+
 #: Rows a bucket should have, most buckets, and most sampled keys that go to the driver.
 ROWS_PER_BUCKET, MOST_BUCKETS, MOST_SAMPLED = 20_000, 4096, 65_536
 
@@ -76,6 +78,7 @@ def covering(points: DataFrame, ranges: DataFrame) -> DataFrame:
     precedes its beginning covers nothing. Both inputs are read twice, so they should be
     cheap to read. Repeated points come out as often as they went in.
     """
+    ship(points.sparkSession)
     points = points.select("space", "key", "seq_id").where("space is not null and key is not null and seq_id is not null")
     ranges = ranges.select("space", "lo", "hi", "seq_id").where("space is not null and seq_id is not null and lo <= hi")
     ranges = ranges.groupBy("space", "lo", "hi").agg(F.max("seq_id").alias("seq_id"))

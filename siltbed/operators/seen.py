@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from siltbed.session import scratch
 
-#: Batches that a whole history is cut into, runs of a level before they are merged, and hash ranges.
-BATCHES, FAN_OUT, RANGES = 4, 2, 64
+#: Batches that a whole history is cut into, runs of a level before they are merged, and bits of the hash that number its range.
+BATCHES, FAN_OUT, FENCE_BITS = 4, 2, 6
 
 
 def hash_keys(rows: DataFrame, bits: int = 64) -> DataFrame:
@@ -32,7 +32,7 @@ def hash_keys(rows: DataFrame, bits: int = 64) -> DataFrame:
     h = F.xxhash64("grp", "key")
     if bits < 64:
         h = h.bitwiseAND(F.lit((1 << bits) - 1))
-    return rows.withColumn("h", h).withColumn("fence", F.shiftrightunsigned("h", max(0, bits - 6)).cast("int"))
+    return rows.withColumn("h", h).withColumn("fence", F.shiftrightunsigned("h", max(0, bits - FENCE_BITS)).cast("int"))
 
 
 @dataclass

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,11 +26,36 @@ def scratch_root(spark: SparkSession) -> str:
     return root
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A path not in use below scratch_root(), deleted when the application ends."""
+def _own_folder(spark: SparkSession) -> str:
     app = f"{scratch_root(spark)}/siltbed/{spark.sparkContext.applicationId}"
     _drop_at_end(spark, app)
-    return f"{app}/{name}-{uuid.uuid4().hex[:12]}"
+    return app
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path not in use below scratch_root(), deleted when the application ends."""
+    ship(spark)
+    return f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application, so that it need not be installed there."""
+    context, package = spark.sparkContext, Path(__file__).parent
+    if context.applicationId in _shipped or not package.is_dir():
+        return
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as archive:
+        for file in sorted(package.rglob("*.py")):
+            archive.write(file, str(file.relative_to(package.parent)))
+    path = context._jvm.org.apache.hadoop.fs.Path(f"{_own_folder(spark)}/siltbed.zip")
+    out = path.getFileSystem(context._jsc.hadoopConfiguration()).create(path, True)
+    out.write(bytearray(data.getvalue()))
+    out.close()
+    context.addPyFile(path.toString())
+    _shipped.add(context.applicationId)
 
 
 def _drop_at_end(spark: SparkSession, path: str) -> None:

@@ -9,11 +9,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from siltbed.operators.bucket import step
+from siltbed.session import ship
 
 
 def admissions(calls: DataFrame, max_tokens: int, interval_ms: int) -> DataFrame:
     """bucket, call_id, at_ms, admitted; the state of a bucket is its tokens and last refill."""
 
+    ship(calls.sparkSession)
+
     def fold(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         tokens, refilled = state.get if state.exists else (0, None)
         rows = pd.concat(list(batches)).sort_values(["at_ms", "call_id"])

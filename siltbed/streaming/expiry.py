@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from siltbed.session import ship
+
 _OUT = "store_id int, key binary, seq_id long, expires_at_ms long"
 _STATE = "seq_id long, expires_at_ms long"
 
@@ -39,5 +41,6 @@ def expiry_events(log: DataFrame, at: str, late: str) -> DataFrame:
     log: store_id, key, seq_id, op_type, expires_at_ms and the event time `at`. A newer
     version of a key replaces the timer of the older one, so it expires silently.
     """
+    ship(log.sparkSession)
     rows = log.withWatermark(at, late).where("op_type in (0, 1)").select(F.col("store_id").cast("int"), "key", "seq_id", "op_type", "expires_at_ms", at)
     return rows.groupBy("store_id", "key").applyInPandasWithState(_newest, _OUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout)

@@ -295,3 +295,12 @@ def test_plans_have_no_nested_loops_and_push_filters(spark):
     assert "value" not in scanned.split("ReadSchema")[1].split("\n")[0]
     assert references(spark, "/root/testdata/sf0.001").count() > 0 and targets(spark, "/root/testdata/sf0.001").count() > 0
     assert math.isclose(sum(r.n for r in sketches.cms_table(eff, ["store_id"], "key", 272, 5).groupBy("row").agg(F.sum("n").alias("n")).collect()), 5 * eff.count())
+
+
+def test_the_package_is_sent_to_workers_once(spark):
+    from siltbed import session
+
+    session.ship(spark)
+    before = list(spark.sparkContext._python_includes)
+    session.ship(spark)
+    assert before == spark.sparkContext._python_includes and any(name.startswith("siltbed") for name in before)
