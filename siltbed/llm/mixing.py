@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltbed.session import scratch, settle
+from siltbed.session import scratch, settle, ship
 
 #: Default vocabulary, a file of token ranks; a parameter of every operator here.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -57,6 +57,7 @@ def count_tokens(texts: list[str], vocabulary: str = VOCABULARY) -> list[int]:
 
 def with_tokens(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """doc_id, domain, lang, source, text with tokens in place of the text."""
+    ship(documents.sparkSession)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
