@@ -98,17 +98,21 @@ def advance(state: DataFrame | None, refs: DataFrame, events: DataFrame, slice_m
     return Ledger(orphans, kept, opened)
 
 
+def slice_width(length: int, rows: int) -> int:
+    """Microseconds of a slice for so many rows over a length of time; a whole number of slices make a day, so that counts add up by day."""
+    wanted = max(1, length // max(LEAST_SLICES, rows // ROWS_PER_SLICE))
+    parts = max(1, -(-DAY // wanted))
+    while DAY % parts:  # a day's microseconds have only the factors 2, 3 and 5, so the next fit is near
+        parts += 1
+    return DAY // parts
+
+
 def replay(refs: DataFrame, targets: DataFrame, batches: int = 3) -> Ledger:
     """The whole history, folded in that many consecutive batches of equal length in time."""
     spark = refs.sparkSession
     span = refs.where("target is not null").agg(F.min("at").alias("lo"), F.max("at").alias("hi"), F.count("*").alias("n")).first()
     lo, hi = (span.lo or 0), (span.hi or 0)
-    slices = max(LEAST_SLICES, span.n // ROWS_PER_SLICE)
-    # A whole number of slices in a day, so that the counts of a day can be told from slices.
-    width = max(1, (hi - lo) // slices)
-    width = DAY // max(1, -(-DAY // width)) if width < DAY else DAY
-    while DAY % width:
-        width -= 1
+    width = slice_width(hi - lo, span.n)
     cuts = sorted({((lo + (hi - lo) * k // batches) // width + 1) * width for k in range(1, batches)})
     events, state, done = target_events(targets), None, []
     for since, till in zip([None, *cuts], [*cuts, None]):

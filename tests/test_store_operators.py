@@ -49,6 +49,13 @@ def test_orphans(spark, batches):
         assert n == open_, (table, day_text)
 
 
+def test_slices_divide_a_day():
+    day = orphans.DAY
+    for length, rows in ((0, 0), (133 * day, 4_000_000), (133 * day, 42_000_000), (10 * day, 10**9), (day, 10**12), (9999 * day, 1)):
+        width = orphans.slice_width(length, rows)
+        assert 1 <= width <= day and day % width == 0 and width <= max(1, length // max(orphans.LEAST_SLICES, rows // orphans.ROWS_PER_SLICE))
+
+
 def test_orphans_empty(spark):
     none = spark.createDataFrame([], REF), spark.createDataFrame([], TARGET)
     done = orphans.replay(*none)
