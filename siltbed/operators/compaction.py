@@ -44,6 +44,23 @@ def leveled_plan(manifest: DataFrame, files_at_0: int = 4) -> DataFrame:
     return hit.groupBy("store_id", "inputs", "bytes").agg(F.count_if(over).alias("overlapping"), F.coalesce(F.sum(F.when(over, F.col("b_bytes"))), F.lit(0)).alias("overlapping_bytes"))
 
 
+def overflow_plan(manifest: DataFrame, first_limit: int, factor: int) -> DataFrame:
+    """Layers from 1 on whose files exceed first_limit * factor**(layer - 1) bytes, with the step that relieves them.
+
+    The first file by name goes to the next layer: merged with the files there that overlap it, or
+    moved, which changes the manifest only, where none does. The last layer merges into itself.
+    """
+    files = listed(manifest)
+    last = files.groupBy("store_id").agg(F.max("layer").alias("last_layer"))
+    tiers = files.where("layer >= 1").groupBy("store_id", "layer").agg(F.sum("size_bytes").alias("bytes"), F.min_by(F.struct("file_name", "min_key", "max_key"), "file_name").alias("f"))
+    full = tiers.withColumn("limit", (F.lit(first_limit) * F.pow(F.lit(factor), F.col("layer") - 1)).cast("long")).where("bytes >= limit").join(last, "store_id")
+    below = files.select("store_id", (F.col("layer") - 1).alias("layer"), F.col("min_key").alias("b_lo"), F.col("max_key").alias("b_hi"))
+    over = ~((F.col("b_hi") < F.col("f.min_key")) | (F.col("b_lo") > F.col("f.max_key")))
+    hit = full.join(below, ["store_id", "layer"], "left").groupBy("store_id", "layer", "bytes", "limit", "last_layer", "f.file_name").agg(F.count_if(over).alias("overlapping"))
+    act = F.when(F.col("layer") == F.col("last_layer"), "merge in place").when(F.col("overlapping") == 0, "move").otherwise("merge")
+    return hit.select("store_id", "layer", "bytes", "limit", "file_name", "overlapping", act.alias("action"))
+
+
 def size_tiered_plan(manifest: DataFrame, threshold: int = 4) -> DataFrame:
     """Layers with enough files to merge into the next one; the last layer merges into itself."""
     files = listed(manifest)

@@ -41,6 +41,14 @@ def replay(oplog: DataFrame, wal_manifest: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(marks), "store_id", "left").where("seq_id > coalesce(watermark, -1)").drop("watermark")
 
 
+def segments(oplog: DataFrame, wal_manifest: DataFrame) -> DataFrame:
+    """Per segment of the log: deliveries, bounds of the sequence, and whether it may be deleted, as all of it is flushed."""
+    each = oplog.where("segment_id is not null and store_id is not null").groupBy("store_id", "segment_id")
+    each = each.agg(F.count("*").alias("deliveries"), F.min("seq_id").alias("min_seq"), F.max("seq_id").alias("max_seq"))
+    marks = watermarks(wal_manifest)  # a row a store
+    return each.join(F.broadcast(marks), "store_id", "left").withColumn("deletable", F.coalesce(F.col("max_seq") <= F.col("watermark"), F.lit(False))).drop("watermark")
+
+
 def append_batch(spark, path: str, rows: list[tuple[bytes, bytes | None]], op: int, store_id: int, first_seq: int, txn_id: int | None) -> int:
     """Append puts or deletes as one atomic write of one file; returns the next sequence id. Empty and reserved keys refuse the whole batch."""
     if op not in (PUT, DEL):

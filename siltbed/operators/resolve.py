@@ -50,18 +50,21 @@ def newest(effective: DataFrame, as_of: int | None = None) -> DataFrame:
 
 
 def with_cover(rows: DataFrame, ranges: DataFrame) -> DataFrame:
-    """rows (store_id, key, seq_id, ...; unique by these) with cover_seq, the highest newer range delete over the key, or null."""
+    """rows (store_id, key, seq_id, ...; one a store and key) with cover_seq, the highest newer range delete over the key, or null.
+
+    The last join is by store and key, as the rows of newest() lie already, so their values aren't moved again.
+    """
     spark = rows.sparkSession
     ranges = settle(ranges, scratch(spark, "ranges"))
     if ranges.limit(FEW_RANGES + 1).count() <= FEW_RANGES:
         r = ranges.select(F.col("store_id").alias("r_store"), "start_key", "end_key", F.col("seq_id").alias("r_seq"))
         over = (F.col("store_id") == F.col("r_store")) & F.col("key").between(F.col("start_key"), F.col("end_key")) & (F.col("r_seq") > F.col("seq_id"))
-        hit = rows.select("store_id", "key", "seq_id").join(F.broadcast(r), over).groupBy("store_id", "key", "seq_id").agg(F.max("r_seq").alias("cover_seq"))
+        hit = rows.select("store_id", "key", "seq_id").join(F.broadcast(r), over).groupBy("store_id", "key").agg(F.max("r_seq").alias("cover_seq"))
     else:
         points = settle(rows.select(F.col("store_id").cast("long").alias("space"), "key", "seq_id"), scratch(spark, "points"))
         swept = covering(points, ranges.select(F.col("store_id").cast("long").alias("space"), F.col("start_key").alias("lo"), F.col("end_key").alias("hi"), "seq_id"))
-        hit = swept.where("cover_seq > seq_id").select(F.col("space").cast(rows.schema["store_id"].dataType).alias("store_id"), "key", "seq_id", "cover_seq")
-    return rows.join(hit, ["store_id", "key", "seq_id"], "left")
+        hit = swept.where("cover_seq > seq_id").select(F.col("space").cast(rows.schema["store_id"].dataType).alias("store_id"), "key", "cover_seq")
+    return rows.join(hit, ["store_id", "key"], "left")
 
 
 def not_expired(now_ms: int) -> Column:

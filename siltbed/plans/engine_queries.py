@@ -20,6 +20,7 @@ HOT, LOWER, UPPER, PREFIX = b"meta:heartbeat", b"ord:0000", b"sess:8", b"user:4"
 SOME_KEYS = [b"meta:heartbeat", b"user:491420", b"no such key"]
 PAGE, PAGE_SIZE, DIRECTORY_SIZE = 3, 10, 50
 ROWS_PER_FILE, HISTORY = 1000, 3
+LAYER_BYTES, LAYER_FACTOR = 4000, 2
 BLOOM, CMS, HLL_P = sketches.bloom_size(1000, 0.01), sketches.cms_size(0.01, 0.99), 14
 BUCKET_TOKENS, BUCKET_MS = 3, 86_400_000
 
@@ -223,6 +224,14 @@ def compaction_size_tiered_plan(spark, d):
     return compaction.size_tiered_plan(table(spark, d, "sstable_manifest"))
 
 
+def compaction_overflow_plan(spark, d):
+    return compaction.overflow_plan(table(spark, d, "sstable_manifest"), LAYER_BYTES, LAYER_FACTOR)
+
+
+def wal_segment_gc(spark, d):
+    return log.segments(table(spark, d, "oplog"), table(spark, d, "wal_manifest"))
+
+
 def _merged(spark, d, **how):
     rows = compaction.merged(table(spark, d, "sst_records"), table(spark, d, "sstable_manifest"), **how)
     return _hexed(rows.withColumn("op_type", F.col("op_type").cast("int")))
@@ -402,7 +411,7 @@ range_scan range_scan_page prefix_scan prefix_scan_page range_iterate page_direc
 range_delete_visible range_tombstone_fragments covered_keys_anti_join ttl_visible ttl_remaining ttl_index ttl_expiry_events expire_existing_keys
 get_versions get_version_n versions_top_n version_diff snapshot_versions
 batch_write_atomic batch_delete_atomic wal_committed_txns wal_replay_after_watermark
-flush_summary sstable_metadata list_sstables compaction_candidates compaction_size_tiered_plan compact_partial compact_full merkle_root merkle_validate merkle_proof
+flush_summary sstable_metadata list_sstables compaction_candidates compaction_overflow_plan compaction_size_tiered_plan wal_segment_gc compact_partial compact_full merkle_root merkle_validate merkle_proof
 bloom_params bloom_bits bloom_contains bloom_merge cms_params cms_table cms_estimate cms_merge hll_params hll_registers hll_count hll_merge
 simhash_tokens simhash_fingerprint simhash_distance simhash_hex simhash_near_dups simhash_classes merge_fold sketch_catalog
 notify_point_events notify_range_events token_bucket_admission backup_incremental_files backup_restore_set backup_cascade_closure"""

@@ -198,6 +198,19 @@ SELECT store_id, file_name, count(*) AS records, count(DISTINCT seq_id) AS disti
 first AS (SELECT store_id, count(*) inputs, min(min_key) lo, max(max_key) hi, sum(size_bytes)::BIGINT bytes FROM listed WHERE layer = 0 GROUP BY 1 HAVING count(*) >= 4)
 SELECT f.store_id, inputs, bytes, count(l.file_name) AS overlapping, coalesce(sum(l.size_bytes), 0)::BIGINT AS overlapping_bytes
 FROM first f LEFT JOIN listed l ON l.store_id = f.store_id AND l.layer = 1 AND NOT (l.max_key < f.lo OR l.min_key > f.hi) GROUP BY ALL""",
+    "compaction_overflow_plan": f"""WITH {_LISTED},
+last AS (SELECT store_id, max(layer) last_layer FROM listed GROUP BY 1),
+tiers AS (
+  SELECT store_id, layer, sum(size_bytes)::BIGINT bytes, (4000 * pow(2, layer - 1))::BIGINT lim, min(file_name) file_name, arg_min(min_key, file_name) lo, arg_min(max_key, file_name) hi
+  FROM listed WHERE layer >= 1 GROUP BY store_id, layer)
+SELECT t.store_id, t.layer, t.bytes, t.lim AS "limit", t.file_name, count(b.file_name) AS overlapping,
+  CASE WHEN t.layer = last_layer THEN 'merge in place' WHEN count(b.file_name) = 0 THEN 'move' ELSE 'merge' END AS action
+FROM tiers t JOIN last USING (store_id) LEFT JOIN listed b ON b.store_id = t.store_id AND b.layer = t.layer + 1 AND NOT (b.max_key < t.lo OR b.min_key > t.hi)
+WHERE t.bytes >= t.lim GROUP BY t.store_id, t.layer, t.bytes, t.lim, t.file_name, last_layer""",
+    "wal_segment_gc": """
+WITH marks AS (SELECT store_id, max(flushed_up_to_seq_id) mark FROM wal_manifest WHERE deleted_at IS NULL GROUP BY 1)
+SELECT store_id, segment_id, count(*) AS deliveries, min(seq_id) AS min_seq, max(seq_id) AS max_seq, coalesce(max(seq_id) <= any_value(mark), false) AS deletable
+FROM oplog LEFT JOIN marks USING (store_id) WHERE segment_id IS NOT NULL GROUP BY store_id, segment_id""",
     "compaction_size_tiered_plan": f"""WITH {_LISTED}, last AS (SELECT store_id, max(layer) last_layer FROM listed GROUP BY 1)
 SELECT store_id, layer, count(*) AS files, sum(size_bytes)::BIGINT AS bytes, CASE WHEN layer = last_layer THEN layer ELSE layer + 1 END AS to_layer,
   layer = last_layer AS drops_tombstones FROM listed JOIN last USING (store_id) GROUP BY store_id, layer, last_layer HAVING count(*) >= 4""",
