@@ -11,19 +11,23 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
+_local_roots: dict[str, str] = {}
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder named by spark.checkpoint.dir.
 
     Only a local session may lack the setting; it then gets a temporary folder of its own.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="siltbed-")
-        spark.conf.set("spark.checkpoint.dir", root)
-        _drop_at_end(spark, root)
-    return root
+    if root := spark.conf.get("spark.checkpoint.dir", None):
+        return root.rstrip("/")
+    context = spark.sparkContext
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    if context.applicationId not in _local_roots:
+        _local_roots[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="siltbed-")
+        _drop_at_end(spark, _local_roots[context.applicationId])
+    return _local_roots[context.applicationId]
 
 
 def _own_folder(spark: SparkSession) -> str:

@@ -304,3 +304,20 @@ def test_the_package_is_sent_to_workers_once(spark):
     before = list(spark.sparkContext._python_includes)
     session.ship(spark)
     assert before == spark.sparkContext._python_includes and any(name.startswith("siltbed") for name in before)
+
+
+def test_a_local_session_without_the_setting_gets_a_folder(tmp_path):
+    import os
+    import subprocess
+    import sys
+
+    code = (
+        "from pyspark.sql import SparkSession\n"
+        "s = SparkSession.builder.master('local[1]').config('spark.ui.enabled', 'false').getOrCreate()\n"
+        "from siltbed.session import scratch, settle\n"
+        "assert s.conf.get('spark.checkpoint.dir', None) is None\n"
+        "print('ROWS', settle(s.range(3), scratch(s, 'x')).count(), scratch(s, 'y'))\n"
+    )
+    env = os.environ | {"SPARK_CONF_DIR": str(tmp_path), "PYTHONPATH": os.path.dirname(os.path.dirname(os.path.abspath(__file__)))}
+    done = subprocess.run([sys.executable, "-c", code], env=env, capture_output=True, text=True, timeout=120)
+    assert "ROWS 3 file:" in done.stdout, done.stderr[-2000:]
