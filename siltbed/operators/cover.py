@@ -39,8 +39,8 @@ def _blocks(lo: int, hi: int) -> Iterator[tuple[int, int]]:
         lo, hi, level = lo >> 1, hi >> 1, level + 1
 
 
-def _cuts(points: DataFrame, ranges: DataFrame) -> list[tuple[int, bytes]]:
-    keys = points.select("space", "key").unionByName(ranges.select("space", F.col("lo").alias("key")))
+def sample_cuts(keys: DataFrame) -> list[tuple[int, bytes]]:
+    """Places (space, key) that cut keys (space long, key) into buckets of about equal size, from a bounded sample by hash."""
     n = keys.count()
     buckets = min(MOST_BUCKETS, -(-n // ROWS_PER_BUCKET))
     if buckets < 2:
@@ -82,7 +82,7 @@ def covering(points: DataFrame, ranges: DataFrame) -> DataFrame:
     points = points.select("space", "key", "seq_id").where("space is not null and key is not null and seq_id is not null")
     ranges = ranges.select("space", "lo", "hi", "seq_id").where("space is not null and seq_id is not null and lo <= hi")
     ranges = ranges.groupBy("space", "lo", "hi").agg(F.max("seq_id").alias("seq_id"))
-    cuts = _cuts(points, ranges)
+    cuts = sample_cuts(points.select("space", "key").unionByName(ranges.select("space", F.col("lo").alias("key"))))
 
     @F.pandas_udf(T.LongType())
     def bucket_of(space, key):

@@ -1,23 +1,49 @@
-"""Which subscriptions does a change concern? Point events in ranges, and ranges that overlap."""
+"""Which subscriptions does a change concern? Point events in ranges, and ranges that overlap.
+
+Bounds are inclusive; an empty one is open. Few subscriptions are sent to every task. Many are
+cut into key buckets at sampled bounds: events and subscriptions meet in the buckets they share, and a
+pair counts in the first of these only. Events without a key, and ranges and subscriptions that end before they begin, concern nobody.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from bisect import bisect_right
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Subscriptions that are sent to every task, at most; beyond, both sides meet in shared prefixes of their keys.
+from siltbed.operators.cover import sample_cuts
+from siltbed.session import ship
+
+#: Subscriptions that are sent to every task, at most.
 FEW = 10_000
 
 
 def _bounds(key_lo: Column, key_hi: Column) -> Column:
-    """Inclusive bounds; an empty one is open."""
     return ((F.length("lower") == 0) | (F.col("lower") <= key_hi)) & ((F.length("upper") == 0) | (F.col("upper") >= key_lo))
 
 
-def _sides(subscriptions: DataFrame) -> DataFrame:
+def _meet(events: DataFrame, subscriptions: DataFrame, last: str) -> DataFrame:
+    """events (key to last) with the subscriptions (listener_id, lower, upper) they overlap."""
+    subscriptions = subscriptions.select("listener_id", "lower", "upper").where("lower is not null and (length(upper) = 0 or lower <= upper)")
+    concerns = _bounds(F.col("key"), F.col(last))
     if subscriptions.limit(FEW + 1).count() <= FEW:
-        return F.broadcast(subscriptions)
-    return subscriptions
+        return events.join(F.broadcast(subscriptions), concerns)
+    ship(events.sparkSession)
+    cuts = sample_cuts(subscriptions.select(F.lit(0).cast("long").alias("space"), F.col("lower").alias("key")))
+
+    @F.pandas_udf(T.IntegerType())
+    def bucket(key):
+        import pandas as pd
+
+        return pd.Series([bisect_right(cuts, (0, k)) for k in key], dtype="int32")
+
+    mine = subscriptions.withColumn("s_first", bucket("lower")).withColumn("s_last", F.when(F.length("upper") == 0, F.lit(len(cuts))).otherwise(bucket("upper")))
+    theirs = events.withColumn("e_first", bucket("key")).withColumn("e_last", bucket(last))
+    mine = mine.withColumn("bucket", F.explode(F.sequence("s_first", "s_last")))
+    theirs = theirs.withColumn("bucket", F.explode(F.sequence("e_first", "e_last")))
+    return theirs.join(mine, "bucket").where(concerns & (F.col("bucket") == F.greatest("s_first", "e_first")))
 
 
 def point_events(log: DataFrame, subscriptions: DataFrame) -> DataFrame:
@@ -25,20 +51,17 @@ def point_events(log: DataFrame, subscriptions: DataFrame) -> DataFrame:
 
     Nothing is dropped, however full a listener's buffer would be.
     """
-    events = log.where("op_type in (0, 1) and key is not null")
-    found = events.join(_sides(subscriptions), _bounds(F.col("key"), F.col("key")))
-    return found.select("listener_id", "seq_id", F.when(F.col("op_type") == 0, "PUT").otherwise("DELETE").alias("type"), "key", F.when(F.col("op_type") == 0, F.col("value")).alias("value"))
+    events = log.where("op_type in (0, 1) and key is not null").select("seq_id", "op_type", "key", "value")
+    is_put = F.col("op_type") == 0
+    return _meet(events, subscriptions, "key").select("listener_id", "seq_id", F.when(is_put, "PUT").otherwise("DELETE").alias("type"), "key", F.when(is_put, F.col("value")).alias("value"))
 
 
 def range_events(log: DataFrame, subscriptions: DataFrame) -> DataFrame:
     """listener_id and event of every range delete that overlaps a subscription."""
-    events = log.where("op_type = 3 and key <= value")
-    found = events.join(_sides(subscriptions), _bounds(F.col("key"), F.col("value")))
-    return found.select("listener_id", "seq_id", F.lit("RANGEDEL").alias("type"), "key", "value")
+    events = log.where("op_type = 3 and key <= value").select("seq_id", "key", "value")
+    return _meet(events, subscriptions, "value").select("listener_id", "seq_id", F.lit("RANGEDEL").alias("type"), "key", "value")
 
 
 def delivered(events: DataFrame, buffer_size: int) -> DataFrame:
     """The first events of each listener that a buffer nobody empties would hold; the option for callers that want drops."""
-    from pyspark.sql import Window
-
     return events.withColumn("_n", F.row_number().over(Window.partitionBy("listener_id").orderBy("seq_id"))).where(F.col("_n") <= buffer_size).drop("_n")

@@ -247,6 +247,21 @@ def test_compaction_keeps_the_state(spark):
     assert (plan.inputs, plan.overlapping) == (8, 4) and compaction.size_tiered_plan(manifest).count() == 2
 
 
+def test_many_subscriptions_meet_in_buckets(spark, monkeypatch):
+    rnd = random.Random(12)
+    word = lambda: bytes(rnd.choices(b"ab\x00\xff", k=rnd.randrange(3)))
+    subs = [(i, word(), word()) for i in range(120)] + [(900, None, b"x")]
+    rows = [(i, rnd.choice([0, 1, 3]), word(), word()) for i in range(80)]
+    df, listeners = frame(spark, rows), spark.createDataFrame(subs, "listener_id long, lower binary, upper binary")
+    want = [sorted((r.listener_id, r.seq_id) for r in f(df, listeners).collect()) for f in (notify.point_events, notify.range_events)]
+    over = lambda lo, hi, a, b: (not hi or lo <= hi) and (not lo or lo <= b) and (not hi or hi >= a)
+    assert want[0] == sorted((i, q) for i, lo, hi in subs[:-1] for q, op, k, _ in rows if op < 2 and over(lo, hi, k, k))
+    assert want[1] == sorted((i, q) for i, lo, hi in subs[:-1] for q, op, k, v in rows if op == 3 and k <= v and over(lo, hi, k, v))
+    monkeypatch.setattr(notify, "FEW", 0)
+    monkeypatch.setattr(cover, "ROWS_PER_BUCKET", 9)
+    assert [sorted((r.listener_id, r.seq_id) for r in f(df, listeners).collect()) for f in (notify.point_events, notify.range_events)] == want
+
+
 def test_notifications(spark):
     subs = spark.createDataFrame([(1, b"a", b"c"), (2, b"", b"b"), (3, b"m", b"")], "listener_id long, lower binary, upper binary")
     df = frame(spark, [(1, 0, "a", "1"), (2, 0, "c", "1"), (3, 1, "z", None), (4, 3, "b", "n"), (5, 3, "d", "e"), (6, 2, "a", "1")])
