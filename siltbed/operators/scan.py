@@ -5,7 +5,7 @@ Bounds are inclusive; an empty bound is open. Pages are numbered from 0; a negat
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltbed.operators.ordered import numbered
@@ -36,6 +36,15 @@ def page(rows: DataFrame, number: int, size: int) -> DataFrame:
     return rows.orderBy("key").offset(max(0, number) * size).limit(size)
 
 
+def store_pages(rows: DataFrame, number: int, size: int) -> DataFrame:
+    """The same page of every store; ranks are cut before the exchange, so a task sends a store's first rows only."""
+    if size <= 0:
+        raise ValueError("a page needs a size above 0")
+    first = max(0, number) * size
+    rank = F.row_number().over(Window.partitionBy("store_id").orderBy("key"))
+    return rows.withColumn("_n", rank).where((F.col("_n") > first) & (F.col("_n") <= first + size)).drop("_n")
+
+
 def page_directory(rows: DataFrame, size: int) -> DataFrame:
     """Of each store's pages: store_id, page, first_key, last_key, rows, top_seq."""
     if size <= 0:

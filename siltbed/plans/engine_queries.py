@@ -72,16 +72,13 @@ def user_keys_only(spark, d):
     return _hexed(rows.select("store_id", "key", "seq_id", F.col("op_type").cast("int").alias("op_type")))
 
 
-def _store1(spark, d):
-    return resolve.state(_eff(spark, d).where("store_id = 1"), NOW_MS)
-
-
 def range_scan(spark, d):
     return _hexed(scan.range_scan(resolve.state(_eff(spark, d), NOW_MS), LOWER, UPPER).select("store_id", "key", "seq_id"))
 
 
 def range_scan_page(spark, d):
-    return _hexed(scan.page(scan.range_scan(_store1(spark, d), LOWER, UPPER), PAGE, PAGE_SIZE).select("key", "seq_id", "value"))
+    """One page of every store."""
+    return _hexed(scan.store_pages(scan.range_scan(resolve.state(_eff(spark, d), NOW_MS), LOWER, UPPER), PAGE, PAGE_SIZE).select("store_id", "key", "seq_id", "value"))
 
 
 def prefix_scan(spark, d):
@@ -89,7 +86,8 @@ def prefix_scan(spark, d):
 
 
 def prefix_scan_page(spark, d):
-    return _hexed(scan.page(scan.prefix_scan(_store1(spark, d), PREFIX), PAGE, PAGE_SIZE).select("key", "seq_id", "value"))
+    """One page of every store."""
+    return _hexed(scan.store_pages(scan.prefix_scan(resolve.state(_eff(spark, d), NOW_MS), PREFIX), PAGE, PAGE_SIZE).select("store_id", "key", "seq_id", "value"))
 
 
 def range_iterate(spark, d):
