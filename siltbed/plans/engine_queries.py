@@ -100,15 +100,8 @@ def page_directory(spark, d):
 
 
 def page_dirty(spark, d):
-    """Pages of the state at a sequence id, and whether a later put or delete fell between a page's first and last key."""
-    eff = _eff(spark, d)
-    pages = scan.page_directory(resolve.state(eff, as_of=AS_OF), DIRECTORY_SIZE)
-    events = resolve.versions(eff).where((F.col("seq_id") > AS_OF) & (F.col("op_type") != MERGE)).select("store_id", "key").distinct()
-    heads = pages.select("store_id", F.col("first_key").alias("key"), F.lit(0).alias("kind"), F.struct("page", "last_key").alias("head"))
-    rows = heads.unionByName(events.select("store_id", "key", F.lit(1).alias("kind"), F.lit(None).cast(heads.schema["head"].dataType).alias("head")))
-    placed = ordered.last_before(rows, ["store_id"], ["key", "kind"], F.col("head"), "at").where("kind = 1 and key <= at.last_key")
-    dirty = placed.groupBy("store_id", F.col("at.page").alias("page")).agg(F.count("*").alias("changed_keys"))
-    return pages.select("store_id", "page").join(dirty, ["store_id", "page"], "left").na.fill(0, ["changed_keys"]).withColumn("dirty", F.col("changed_keys") > 0)
+    """Pages of the state at a sequence id, and whether a later put, delete or range delete fell between a page's first and last key."""
+    return scan.dirty_pages(_eff(spark, d), AS_OF, DIRECTORY_SIZE)
 
 
 def range_delete_visible(spark, d):
