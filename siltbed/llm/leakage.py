@@ -18,6 +18,7 @@ documents are found each under their own id; repeated rows of one id once.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from siltbed.llm.words import SENTENCE, WORD, alike, clean, fold
 from siltbed.session import scratch, settle, ship
 
-#: Words of a window; windows of more items than this are phrasing; shared windows that make a candidate, of the item's words at least so many.
+#: Words of a window; windows of more items than this are phrasing; shared windows that make a candidate (fewer for short items), of the item's words at least so many.
 WINDOW, MOST_ITEMS, LEAST_SHARED, LEAST_SHARE = 5, 20, 4, 0.05
 #: Copied words over the item's words from which an item counts as leaked.
 COPIED = 0.4
@@ -82,10 +83,20 @@ def canonical(text: str, names: frozenset[str]) -> Text:
     return Text(words, template, ends)
 
 
-def windows(template: list[str]) -> set[int]:
-    """Signed 64-bit hashes of all windows; of the whole template where it is shorter than one."""
-    n = max(1, len(template) - WINDOW + 1) if template else 0
-    return {xxhash.xxh3_64_intdigest("\x1f".join(template[i : i + WINDOW])) - (1 << 63) for i in range(n)}
+def _hashes(template: list[str], width: int) -> set[int]:
+    return {xxhash.xxh3_64_intdigest("\x1f".join(template[i : i + width])) - (1 << 63) for i in range(len(template) - width + 1)}
+
+
+def windows(template: list[str], shorter: frozenset[int] = frozenset()) -> set[int]:
+    """Signed 64-bit hashes of all windows, also of the shorter widths; of the whole template where it is shorter than a window."""
+    if not template:
+        return set()
+    return _hashes(template, min(WINDOW, len(template))).union(*(_hashes(template, width) for width in shorter))
+
+
+def least_shared(words: int) -> int:
+    """Shared windows that make a candidate of an item of so many words: no more than there are if its least copied part comes in runs of one window."""
+    return max(1, min(LEAST_SHARED, math.ceil(COPIED * words) // WINDOW), int(LEAST_SHARE * words))
 
 
 @dataclass
@@ -177,6 +188,8 @@ class Items:
             cut[i] = [tuple(t.words[b:e]) for b, e in zip([0, *t.ends], t.ends)]
             heads.update(set(cut[i]))
         self.shared = {i: {k for k, s in enumerate(c) if heads[s] > max(2, MOST_ITEMS // 4)} for i, c in cut.items()}
+        #: Lengths of the items that are shorter than a window.
+        self.shorter = frozenset(len(t.words) for t in self.texts.values() if 0 < len(t.words) < WINDOW)
         by_window: dict[int, list[int]] = {}
         for i, t in self.texts.items():
             for h in windows(t.template):
@@ -201,14 +214,14 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     shared = spark.sparkContext.broadcast(known)
 
     def to_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = shared.value.names
+        names, shorter = shared.value.names, shared.value.shorter
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "h": [sorted(windows(canonical(t, names).template)) for t in batch["text"]]})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "h": [sorted(windows(canonical(t, names).template, shorter)) for t in batch["text"]]})
 
     item_windows = spark.createDataFrame(known.windows, "h long, item_id long")
     item_windows = settle(item_windows, scratch(spark, "item-windows"))
     doc_windows = texts.mapInPandas(to_windows, "doc_id long, h array<long>").select("doc_id", F.explode("h").alias("h"))
-    least = spark.createDataFrame([(i, max(LEAST_SHARED, int(LEAST_SHARE * len(t.words)))) for i, t in known.texts.items()], "item_id long, least int")
+    least = spark.createDataFrame([(i, least_shared(len(t.words))) for i, t in known.texts.items()], "item_id long, least int")
     # The items' windows are bounded by MOST_CHARS, so they go to every executor.
     hits = doc_windows.join(F.broadcast(item_windows), "h").groupBy("doc_id", "item_id").agg(F.count("*").alias("n"))
     found = hits.join(F.broadcast(least), "item_id").where("n >= least").groupBy("doc_id").agg(F.collect_set("item_id").alias("item_ids"))

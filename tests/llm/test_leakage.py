@@ -90,3 +90,11 @@ def test_words():
     assert clean("co­op <b>x</b> wa-\nter d’or ﬁn") == "coop  x  water dor fin"
     assert fold("Émile") == "emile" and fold("STRASSE") == fold("straße")
     assert alike("lantern", "lanten") and alike("lantern", "latnern") and alike("lantern", "lantirn") and not alike("lantern", "lintirn") and not alike("cat", "car")
+
+
+def test_short_items(spark):
+    """Verbatim copies of items with fewer windows than four, and a sentence that is two fifths of its item."""
+    items = [(1, "Crooked lanterns hum"), (2, "Seven bakers quietly painted the northern orchard"), (3, "A sleepy miller weighed nine candles. Beyond the frozen marsh nobody counted silver nets anymore")]
+    docs = [(1, PROSE + "Crooked lanterns hum. " + PROSE), (2, PROSE + "Seven bakers quietly painted the northern orchard. " + PROSE), (3, PROSE + "A sleepy miller weighed nine candles. " + PROSE), (4, PROSE), (5, "Crooked lanterns"), (6, "Seven bakers painted nothing")]
+    assert found(spark, docs, items) == [(1, 1), (2, 2), (3, 3)]
+    assert [leakage.least_shared(n) for n in (1, 7, 15, 64, 200)] == [1, 1, 1, 4, 10]
