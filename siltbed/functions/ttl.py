@@ -10,10 +10,10 @@ UNITS = {"ms": 1, "min": 60_000, "s": 1000, "h": 3_600_000, "D": 86_400_000, "M"
 
 
 def parse_ttl(text: Column) -> Column:
-    """Milliseconds of a literal such as 90, 15s, 10min, 2h, 7D, 3M or 1Y; null if it is none."""
-    number = F.regexp_extract(text, "^([0-9]{1,9})(ms|min|s|h|D|M|Y|)$", 1)
-    unit = F.regexp_extract(text, "^([0-9]{1,9})(ms|min|s|h|D|M|Y|)$", 2)
+    """Milliseconds of a literal such as 90, 15s, 10min, 2h, 7D, 3M or 1Y; null if it is none, or more than 64 bits hold."""
+    number = F.regexp_extract(text, "^([0-9]+)(ms|min|s|h|D|M|Y|)$", 1)
+    unit = F.regexp_extract(text, "^([0-9]+)(ms|min|s|h|D|M|Y|)$", 2)
     factor = F.lit(None).cast("long")
     for name, ms in UNITS.items():
         factor = F.when(unit == name, F.lit(ms).cast("long")).otherwise(factor)
-    return F.when(number != "", number.try_cast("long") * factor)
+    return F.when(number != "", F.try_multiply(number.try_cast("long"), factor))

@@ -302,6 +302,12 @@ def test_ttl_literals(spark):
     assert got == [5000, 5000, 5, 120_000, 3_600_000, 86_400_000, 2_592_000_000, 31_536_000_000, None, None, None, None, None]
 
 
+def test_long_ttl_literals(spark):
+    rows = [("1744675200000ms",), ("9223372036854775807ms",), ("9223372036854775808ms",), ("9223372036854775807",), ("9223372036854775s",), ("00000000000005",), ("1" * 40,)]
+    got = [r.t for r in spark.createDataFrame(rows, "l string").select(parse_ttl(F.col("l")).alias("t")).collect()]
+    assert got == [1_744_675_200_000, 2**63 - 1, None, None, 9_223_372_036_854_775_000, 5000, None]
+
+
 def test_plans_have_no_nested_loops_and_push_filters(spark):
     eff = effective(spark.read.parquet("/root/testdata/sf0.001/oplog.parquet"))
     plan = changes.current_images(eff.select("store_id", "key", "seq_id", "op_type"), ["store_id", "key"])._jdf.queryExecution().toString()
