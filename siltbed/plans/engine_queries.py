@@ -172,9 +172,9 @@ def version_diff(spark, d):
 
 
 def snapshot_versions(spark, d):
-    """Versions kept for snapshots of the keys of the first log segment, taken at a sequence id."""
+    """Versions kept for snapshots of the keys of all log segments, taken at a sequence id."""
     eff = _eff(spark, d)
-    keys = eff.where("segment_id = 1 and op_type = 0").select("store_id", "key").distinct().withColumn("since_seq", F.lit(AS_OF).cast("long"))
+    keys = eff.where("op_type = 0").select("store_id", "key").distinct().withColumn("since_seq", F.lit(AS_OF).cast("long"))
     return _hexed(history.kept_by_snapshots(eff, keys).select("store_id", "key", "seq_id"))
 
 

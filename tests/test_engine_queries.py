@@ -41,3 +41,11 @@ def test_range_deletes_make_pages_dirty(spark):
     pages = scan.dirty_pages(spark.createDataFrame(puts + later + old, LOG), 20, 2).collect()
     got = {(r.store_id, r.page): (r.changed_keys, r.dirty) for r in pages}
     assert got == {(1, 0): (0, True), (1, 1): (0, True), (1, 2): (1, True), (1, 3): (0, False), (1, 4): (0, True), (2, 0): (0, False)}
+
+
+def test_snapshots_of_all_segments(spark, db):
+    """The SQL has the keys of segment 1; without that condition it has all."""
+    assert "segment_id = 1 AND " in SQL["snapshot_versions"]
+    want = sorted(db.sql(f"SELECT store_id, key, seq_id FROM ({SQL['snapshot_versions'].replace('segment_id = 1 AND ', '')})").fetchall())
+    got = sorted((r.store_id, r.key, r.seq_id) for r in engine_queries.QUERIES["snapshot_versions"](spark, ROOT).collect())
+    assert got == want and len(got) > len(db.sql(SQL["snapshot_versions"]).fetchall())
