@@ -2,11 +2,11 @@
 
 A sentence is a transaction of words. Rules "words -> subject" with one or two words on the
 left are mined by parallel frequent-pattern growth: the F-list counts every word by subject,
-transactions are reduced to frequent, informative words, equal ones are combined into weighted
+transactions are reduced to frequent words, equal ones are combined into weighted
 ones (as a prefix tree would), and each word's conditional base (the words before it in the
 order of the list) is counted by subject. Confidence is balanced (subjects of any size count the
 same) and calibrated as the lower end of its Wilson interval. A rule on two words is
-redundant unless it is clearly surer than each of its words; where two words together clearly don't
+redundant unless it is clearly surer than each of its words, which need not tell anything alone; where two words together clearly don't
 mean what one of them means alone (figures of speech), the pair disarms that word.
 
 Labelled samples give the first rules; a sample that the rules of all others contradict is left
@@ -49,8 +49,8 @@ EVIDENCE, MARGIN = 2.3, 1.0
 TEACH_SENTENCES, TEACH_PURITY, TEACH_WORDS = 2, 0.75, 2
 #: Part of the sentences with a subject that a document's subject needs.
 SHARE = 1 / 3
-#: Words of a longer word's stem, which stands for words not known; informative words a stretch of one sentence may have.
-STEM, STRETCH = 5, 40
+#: Letters of a longer word's stem, which stands for words not known.
+STEM = 5
 #: Words of one sentence, at most; a longer one is cut.
 LONGEST = 150
 
@@ -137,15 +137,14 @@ class Rules:
 
     def judge(self, words: list[str]) -> tuple[int, set[str]] | None:
         """The subject of a sentence and the words that speak for it, if the evidence suffices."""
-        known = [w for w in words if w in self.words]
         stems = {stem(w) for w in words if w not in self.words}
-        active = {w: self.words[w] for w in known if self.words[w][2] >= SURE}
+        active = {w: self.words[w] for w in words if w in self.words and self.words[w][2] >= SURE}
         active |= {s: self.words[s] for s in stems if s in self.words and self.words[s][2] >= SURE}
         score: dict[int, float] = defaultdict(float)
         speak: dict[int, set[str]] = defaultdict(set)
         off, in_pair = set(), {}
-        there = set(known)
-        for a in known:
+        there = set(words)
+        for a in words:
             if more := self.near.get(a):
                 for b in sorted(more.keys() & there):
                     rule, words_off = more[b]
@@ -156,10 +155,9 @@ class Rules:
             if w not in off:
                 score[k] += evidence(sure, len(self.subjects))
                 speak[k].add(w)
-        for (a, b), (k, sure) in in_pair.items():
-            # What a pair adds is what its words don't say already.
-            alone = [self.words[w][2] for w in (a, b) if w in active and w not in off and self.words[w][0] == k]
-            if not alone:
+        for (a, b), (k, sure) in sorted(in_pair.items(), key=lambda x: (-x[1][1], x[0])):
+            # What a pair adds is what its words, and surer pairs with one of them, don't say already.
+            if not speak[k] & {a, b}:
                 score[k] += evidence(sure, len(self.subjects))
                 speak[k] |= {a, b}
         if not score:
@@ -188,23 +186,24 @@ def mine(transactions: DataFrame, subjects: list[str]) -> Rules:
     bare = F.transform("words", lambda w: F.substring_index(w, "@", 1))
     stems = F.transform(F.filter(bare, lambda w: F.length(w) > STEM), lambda w: F.concat(F.substring(w, 1, STEM), F.lit("*")))
     items = transactions.select(F.explode(F.array_union("words", stems)).alias("item"), "subject")
+    every: dict[str, tuple[int, float, float]] = {}
     # The list of frequent words is bounded by the least support, a part of all sentences.
     frequent = _by_subject(items, ["item"], F.lit(1), k).where(F.aggregate("counts", F.lit(0.0), lambda x, y: x + y) >= least)
     for row in frequent.toLocalIterator():
         part = balanced(row.counts, totals)
         top = max(range(k), key=part.__getitem__)
+        every[row["item"]] = (top, part[top], wilson(part[top], sum(row.counts), 1.0)[0])
         if part[top] >= INFORMATIVE:
-            rules.words[row["item"]] = (top, part[top], wilson(part[top], sum(row.counts), 1.0)[0])
+            rules.words[row["item"]] = every[row["item"]]
 
-    known = spark.sparkContext.broadcast(rules.words)
+    # A pair may tell what none of its words does alone, so all frequent words are paired.
+    known = spark.sparkContext.broadcast(every)
 
     def reduce_to_known(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             counts: Counter = Counter()
             for words, subject in zip(batch["words"], batch["subject"]):
-                kept = [w for w in words if w in known.value]
-                for at in range(0, len(kept), STRETCH):
-                    counts[tuple(kept[at : at + STRETCH]), subject] += 1
+                counts[tuple(w for w in words if w in known.value), subject] += 1
             rows = [(list(words), subject, n) for (words, subject), n in counts.items() if len(words) > 1]
             yield pd.DataFrame(rows, columns=["words", "subject", "n"])
 

@@ -81,3 +81,11 @@ def test_balanced_and_wilson():
     assert subjects.balanced([10, 1], [100, 10]) == [0.5, 0.5] and subjects.balanced([0, 0], [0, 5]) == [0.0, 0.0]
     low, high = subjects.wilson(0.5, 100, 1.96)
     assert 0.40 < low < 0.41 and 0.59 < high < 0.60
+
+
+def test_pairs_of_plain_words(spark):
+    """Words that tell nothing alone tell a subject together, however far apart in a long sentence."""
+    names, words = [f"s{k}" for k in range(8)], [f"p{i:02d}" for i in range(60)]
+    rows = [([w], k) for w in words for k in range(8) for _ in range(20)] + [(words, 0)] * 4
+    rules = subjects.mine(spark.createDataFrame(rows, "words array<string>, subject int"), names)
+    assert not rules.words and rules.pairs["p00", "p01"][0] == rules.pairs["p00", "p59"][0] == 0 and rules.subject(["p00", "p59"]) is None and rules.subject(words) == 0
