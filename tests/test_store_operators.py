@@ -148,39 +148,88 @@ def small_store():
     return records, entries
 
 
+def listed_now(table):
+    return {(r.store_id, r.layer) for r in table.partitions(table.snapshot()[1]).collect()}
+
+
+def rows_of(df):
+    return sorted((r.store_id, r.layer, bytes(r.key), r.seq_id) for r in df.collect())
+
+
 def test_small_files(spark):
     records, entries = small_store()
     rec, man = spark.createDataFrame(records, RECORD), spark.createDataFrame(entries, ENTRY)
     table = smallfiles.CompactedTable(spark, scratch(spark, "t"))
-    assert set(table.compact(rec, man)) == {"1/0"}
+    before = rows_of(table.read(rec, man))
+    assert table.compact(rec, man) == 1 and listed_now(table) == {(1, 0)}
     want = sorted({(r[0], 0, r[3]) for r in records if r[3] is not None} | {(1, 1, r[3]) for r in records if r[1] == "f1" and r[3] is not None})
     got = table.read(rec, man).select("store_id", "layer", "seq_id").distinct()
-    assert sorted((r.store_id, r.layer, r.seq_id) for r in got.collect()) == want
-    assert table.compact(rec, man) == {} and table.snapshot()[0] == 1
+    assert sorted((r.store_id, r.layer, r.seq_id) for r in got.collect()) == want and rows_of(table.read(rec, man)) == before
+    assert table.compact(rec, man) == 0 and table.snapshot()[0] == 1
     # A new listing of the partition makes readers go back to the files until it is rewritten.
     more = spark.createDataFrame([*entries, (99, 1, 0, "g1", 5, None, "k")], ENTRY)
     extra = spark.createDataFrame([*records, (1, "g1", 0, 777, 0, b"q", None, None, "x", 1)], RECORD)
     assert table.read(extra, more).where("seq_id = 777").count() == 1
-    assert set(table.compact(extra, more)) == {"1/0"} and table.read(extra, more).where("seq_id = 777").count() == 1
+    old_reader = table.read(rec, man)
+    assert table.compact(extra, more) == 1 and table.read(extra, more).where("seq_id = 777").count() == 1
+    # A reader that took its snapshot before the rewrite sees that snapshot.
+    assert rows_of(old_reader) == before
 
 
-def test_small_files_conflicts(spark):
+def test_a_conflict_changes_nothing(spark):
     records, entries = small_store()
     rec, man = spark.createDataFrame(records, RECORD), spark.createDataFrame(entries, ENTRY)
     table = smallfiles.CompactedTable(spark, scratch(spark, "t"))
     changed = spark.createDataFrame([*entries, (99, 1, 0, "late", 5, None, "k")], ENTRY)
+    more = spark.createDataFrame([*records, (1, "late", 0, 777, 0, b"q", None, None, "x", 1)], RECORD)
+    want, wide = rows_of(table.read(more, man)), rows_of(table.read(more, changed))
     with pytest.raises(smallfiles.Conflict):
-        table.compact(rec, man, relist=lambda: changed)
-    assert table.snapshot() == (0, {})
+        table.compact(more, man, relist=lambda: changed)
+    assert table.snapshot() == (0, None) and rows_of(table.read(more, man)) == want and rows_of(table.read(more, changed)) == wide
+    # The same with a snapshot in place: a run that saw one file more gives up; readers of both listings get theirs.
+    assert table.compact(more, man) == 1
+    with pytest.raises(smallfiles.Conflict):
+        table.compact(more, changed, relist=lambda: man)
+    assert rows_of(table.read(more, man)) == want and rows_of(table.read(more, changed)) == wide
+    table.lease_ms, table.now_ms = 0, lambda: 1 << 60
+    assert len(table.vacuum()) == 2 and rows_of(table.read(more, man)) == want
+
+
+def test_claims_expire(spark):
+    records, entries = small_store()
+    rec, man = spark.createDataFrame(records, RECORD), spark.createDataFrame(entries, ENTRY)
+    now = [1000]
+    table = smallfiles.CompactedTable(spark, scratch(spark, "t"), now_ms=lambda: now[0], lease_ms=500)
     table._claim(1)
     with pytest.raises(smallfiles.Conflict):
         table.compact(rec, man)
+    now[0] = 1501
+    assert table.compact(rec, man) == 1 and table.snapshot()[0] == 1
+    # A snapshot that another run published in between, or left unfinished, is not overwritten.
+    table._create("_snapshots", "2", {"map": table.snapshot()[1], "base": 1})
+    with pytest.raises(smallfiles.Conflict):
+        table._create("_snapshots", "2", {})
+    jvm, fs, folder = table._fs("_snapshots")
+    fs.create(jvm.org.apache.hadoop.fs.Path(folder, "3"), False).close()
+    assert table.snapshot()[0] == 2 and rows_of(table.read(rec, man)) == rows_of(smallfiles.CompactedTable(spark, scratch(spark, "u")).read(rec, man))
+
+
+def test_wrong_sizes_in_the_manifest(spark):
+    """The number of files follows from the records, whatever the manifest says of sizes."""
+    records = [(1, f"f{i % 10}", i, i, 0, b"key%05d" % i, b"v" * 1000, None, "x", 1) for i in range(400)]
+    entries = [(i, 1, 0, f"f{i}", None if i % 2 else 0, None, "k") for i in range(10)]
+    table = smallfiles.CompactedTable(spark, scratch(spark, "t"))
+    rec, man = spark.createDataFrame(records, RECORD), spark.createDataFrame(entries, ENTRY)
+    assert table.compact(rec, man, file_bytes=50_000) == 1
+    version = table.partitions(table.snapshot()[1]).first().version
+    files = spark.read.parquet(f"{table.path}/data").where(f"version = '{version}'").select(F.input_file_name().alias("f"), "seq_id").groupBy("f").count().collect()
+    assert 6 <= len(files) <= 12 and sum(r["count"] for r in files) == 400
 
 
 def test_small_files_empty(spark):
     table = smallfiles.CompactedTable(spark, scratch(spark, "t"))
     rec, man = spark.createDataFrame([], RECORD), spark.createDataFrame([], ENTRY)
-    assert table.compact(rec, man) == {} and table.read(rec, man).count() == 0
+    assert table.compact(rec, man) == 0 and table.read(rec, man).count() == 0
 
 
 def items(spark, rows):
