@@ -127,23 +127,3 @@ def near_fingerprints(prints: DataFrame, most: int = 3, spare: int = 3) -> DataF
     less = (F.col("a_hi") < F.col("b_hi")) | ((F.col("a_hi") == F.col("b_hi")) & (F.col("a_lo") < F.col("b_lo")))
     distance = hamming(F.col("a_hi"), F.col("a_lo"), F.col("b_hi"), F.col("b_lo"))
     return a.join(b, "band").where(less).withColumn("distance", distance).where(F.col("distance") <= most).drop("band").distinct()
-
-
-def merge_fold(effective: DataFrame) -> DataFrame:
-    """Folded state of every sketch key of a store: store_id, key, kind, base_seq, operands, newest_seq, newest, items, total.
-
-    A base (marker 0x00) restarts the state, operands (0xFF) after it count; before any base they
-    count from the beginning. items are the distinct payloads, total the sum of their numbers, newest the last one.
-    """
-    rows = effective.where("op_type = 2 and length(key) >= 2 and length(value) > 0").where(F.substring("key", 1, 1) == F.lit(b"\x01"))
-    rows = rows.select("store_id", "key", "seq_id", "value").dropDuplicates(["store_id", "key", "seq_id"])
-    marker, payload = F.substring("value", 1, 1), F.hex(F.expr("substring(value, 2)"))
-    rows = rows.select("store_id", "key", "seq_id", (marker == F.lit(b"\x00")).alias("is_base"), payload.alias("payload"))
-    base = rows.where("is_base").groupBy("store_id", "key").agg(F.max("seq_id").alias("base_seq"))
-    live = rows.join(base, ["store_id", "key"], "left").where("base_seq is null or seq_id >= base_seq")
-    number = F.conv("payload", 16, 10).cast("decimal(20,0)")
-    return live.groupBy("store_id", "key").agg(
-        F.conv(F.hex(F.substring(F.col("key"), 2, 1)), 16, 10).cast("int").alias("kind"), F.max("base_seq").alias("base_seq"),
-        F.count_if(~F.col("is_base")).alias("operands"), F.max("seq_id").alias("newest_seq"), F.max_by("payload", "seq_id").alias("newest"),
-        F.countDistinct("payload").alias("items"), F.sum(number).cast("long").alias("total"),
-    )

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from siltbed.functions.columns import DEL, MERGE, PUT, is_reserved
 from siltbed.functions.ttl import parse_ttl
 from siltbed.operators import backups as lineage
-from siltbed.operators import bucket, compaction, history, log, merkle, notify, ordered, resolve, scan, sketches
+from siltbed.operators import bucket, compaction, folds, history, log, merkle, notify, ordered, resolve, scan, sketches
 from siltbed.sources.store import effective, table
 
 #: The moment at which expiry is judged, a sequence id to travel to, and the keys that scans ask for.
@@ -349,7 +349,8 @@ def simhash_classes(spark, d):
 
 
 def merge_fold(spark, d):
-    return _hexed(sketches.merge_fold(_eff(spark, d)))
+    """Folded state of every sketch, as the number of its cells and a digest; errors for operands without a base."""
+    return _hexed(folds.digests(folds.fold(_eff(spark, d))))
 
 
 def sketch_catalog(spark, d):

@@ -252,11 +252,25 @@ FROM f a JOIN f b ON (a.hi, a.lo) < (b.hi, b.lo) WHERE bit_count(xor(a.hi, b.hi)
     "simhash_classes": f"""WITH {_PRINTS}
 SELECT doc_id, min(doc_id) OVER (PARTITION BY hi, lo) AS class_id, count(*) OVER (PARTITION BY hi, lo) AS members FROM prints""",
     "merge_fold": f"""WITH {_EFF},
-m AS (SELECT store_id, k, seq_id, v[1:2] = '00' is_base, v[3:] payload FROM eff WHERE op_type = 2 AND k[1:2] = '01' AND length(k) >= 4 AND length(v) > 0),
-live AS (SELECT *, max(seq_id) FILTER (is_base) OVER (PARTITION BY store_id, k) base FROM m)
-SELECT store_id, k AS key, ('0x' || k[3:4])::INT AS kind, max(base) AS base_seq, count(*) FILTER (NOT is_base) AS operands, max(seq_id) AS newest_seq,
-  arg_max(payload, seq_id) AS newest, count(DISTINCT payload) AS items, sum(('0x' || payload)::BIGINT)::BIGINT AS total
-FROM live WHERE base IS NULL OR seq_id >= base GROUP BY store_id, k""",
+m AS (SELECT store_id, k, ('0x' || k[3:4])::INT kind, seq_id, v[1:2] = '00' is_base, unhex(v[3:]) item FROM eff WHERE op_type = 2 AND k[1:2] = '01' AND length(k) >= 4 AND length(v) > 0),
+heads AS (
+  SELECT store_id, k, kind, min(seq_id) FILTER (is_base) first_base, max(seq_id) FILTER (is_base) base_seq, min(seq_id) FILTER (NOT is_base) first_operand, max(seq_id) newest_seq, arg_max(item, seq_id) newest
+  FROM m GROUP BY store_id, k, kind),
+live AS (SELECT m.store_id, m.k, m.kind, item FROM m JOIN heads h ON h.store_id = m.store_id AND h.k = m.k WHERE NOT is_base AND m.seq_id > h.base_seq AND (h.kind = 4 OR h.first_operand > h.first_base)),
+counted AS (SELECT store_id, k, kind, item, count(*) n FROM live GROUP BY ALL),
+touched AS (
+  SELECT store_id, k, ({_hash('item', "('siltbed-' || i)::BLOB")} % 9586)::BIGINT pos, 1::BIGINT n FROM counted, range(7) t(i) WHERE kind = 1
+  UNION ALL SELECT store_id, k, i * 272 + ({_hash('item', "('siltbed-' || i)::BLOB")} % 272)::BIGINT, n FROM counted, range(5) t(i) WHERE kind = 2
+  UNION ALL SELECT store_id, k, (h >> 50)::BIGINT, CASE WHEN h & 1125899906842623 = 0 THEN 51 ELSE 50 - length(bin((h & 1125899906842623)::BIGINT)) + 1 END
+  FROM (SELECT store_id, k, {_hash('item', "'siltbed-0'::BLOB")} h FROM counted WHERE kind = 3)),
+cells AS (SELECT store_id, k, pos, CASE WHEN k[3:4] = '02' THEN sum(n)::BIGINT ELSE max(n) END n FROM touched GROUP BY store_id, k, pos),
+states AS (SELECT store_id, k, count(*) cells, string_agg(pos || ':' || n, ',' ORDER BY pos) body FROM cells GROUP BY store_id, k),
+behind AS (SELECT m.store_id, m.k, count(*) operands FROM m JOIN heads h ON h.store_id = m.store_id AND h.k = m.k WHERE NOT is_base AND m.seq_id > h.base_seq AND m.kind <> 4 AND h.first_operand > h.first_base GROUP BY ALL),
+judged AS (SELECT *, CASE WHEN kind NOT BETWEEN 1 AND 4 THEN 'no fold for this kind' WHEN kind <> 4 AND first_operand IS NOT NULL AND (first_base IS NULL OR first_operand < first_base) THEN 'operand before base' ELSE '' END error FROM heads)
+SELECT j.store_id, j.k AS key, kind, base_seq, coalesce(operands, 0) AS operands, newest_seq,
+  CASE WHEN error <> '' THEN 0 WHEN kind = 4 THEN 1 ELSE coalesce(cells, 0) END::BIGINT AS cells,
+  CASE WHEN error = '' THEN md5(CASE WHEN kind = 4 THEN hex(newest) ELSE coalesce(body, '') END) END AS digest, error
+FROM judged j LEFT JOIN states s ON s.store_id = j.store_id AND s.k = j.k LEFT JOIN behind b ON b.store_id = j.store_id AND b.k = j.k""",
     "sketch_catalog": f"""WITH {_EFF}
 SELECT store_id, ('0x' || k[3:4])::INT AS kind, k[5:] AS name, count(*) AS operations, max(seq_id) AS last_seq, arg_max(op_type, seq_id) = 1 AS deleted
 FROM eff WHERE k[1:2] = '01' AND length(k) >= 4 AND op_type IN (0, 1, 2) GROUP BY store_id, k""",

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from siltbed.functions.hashing import halves, seed
 from siltbed.functions.ttl import parse_ttl
-from siltbed.operators import backups, bucket, changes, compaction, cover, history, log, merkle, notify, ordered, resolve, scan, sketches
+from siltbed.operators import backups, bucket, changes, compaction, cover, folds, history, log, merkle, notify, ordered, resolve, scan, sketches
 from siltbed.sources.store import effective, references, targets
 
 LOG = "store_id int, seq_id long, op_type byte, key binary, value binary, expires_at_ms long, txn_id long, rec_type byte"
@@ -202,11 +202,45 @@ def test_near_fingerprints_is_exact(spark):
     assert got == {(a, b): (a ^ b).bit_count() for i, a in enumerate(distinct) for b in distinct[i + 1 :] if (a ^ b).bit_count() <= 3}
 
 
-def test_merge_fold(spark):
-    k = b"\x01\x02n"
-    df = frame(spark, [(1, 2, k, b"\xff\x09"), (2, 2, k, b"\x00\x01"), (3, 2, k, b"\xff\x02"), (4, 2, k, b"\xff\x02"), (5, 2, k, b""), (6, 2, "user", b"\xff\x02")])
-    row = sketches.merge_fold(df).collect()
-    assert [(r.kind, r.base_seq, r.operands, r.newest, r["items"], r.total) for r in row] == [(2, 2, 2, "02", 2, 5)]
+def test_folds_by_kind(spark):
+    """Payloads of any length, repeated records, a second base, a delete, operands without a base, an unknown kind."""
+    item = lambda i: b"item %d " % i * 40
+    rows, seq = [], 0
+    for kind in (1, 2, 3):
+        rows += [(seq + 1, 2, b"\x01%cn" % kind, b"\x00"), (seq + 2, 2, b"\x01%cn" % kind, b"\xffforgotten"), (seq + 3, 2, b"\x01%cn" % kind, b"\x00")]
+        rows += [(seq + 4 + i, 2, b"\x01%cn" % kind, b"\xff" + item(i % 30)) for i in range(60)]
+        seq += 100
+    rows += [(500, 2, b"\x01\x04s", b"\x00" + b"old"), (501, 2, b"\x01\x04s", b"\x00" + b"new"), (502, 2, b"\x01\x01lost", b"\xffx"), (503, 2, b"\x01\x01lost", b"\x00"), (504, 2, b"\x01\x09u", b"\x00")]
+    rows += [(505, 2, b"\x01\x02gone", b"\x00"), (506, 1, b"\x01\x02gone", None), (507, 2, b"\x01\x01", b""), (508, 2, "user", b"\xffx"), (509, 2, b"\x01\x03e", b"\x00")]
+    df = frame(spark, rows + rows[:9])
+    got = {bytes(r.key): r for r in folds.fold(df).collect()}
+    assert {k: r.error for k, r in got.items() if r.error} == {b"\x01\x01lost": "operand before base", b"\x01\x09u": "no fold for this kind"}
+    assert set(got) == {b"\x01\x01n", b"\x01\x02n", b"\x01\x03n", b"\x01\x04s", b"\x01\x01lost", b"\x01\x09u", b"\x01\x03e"} and bytes(got[b"\x01\x04s"].newest) == b"new"
+    assert got[b"\x01\x02n"].operands == 60 and got[b"\x01\x02n"].base_seq == 103 and got[b"\x01\x03e"].cells == []
+    out = {bytes(r.key): bytes(r.value)[1:] for r in folds.compacted(df, True).where("op_type = 2 and seq_id not in (502, 503, 504)").collect()}
+    assert all(folds.contains(out[b"\x01\x01n"], item(i)) for i in range(30)) and not folds.contains(out[b"\x01\x01n"], b"forgotten")
+    assert [folds.frequency(out[b"\x01\x02n"], item(i)) >= 2 for i in range(30)] == [True] * 30 and abs(folds.distinct(out[b"\x01\x03n"]) - 30) <= 1 and folds.distinct(out[b"\x01\x03e"]) == 0
+    # Folding what was folded, with more operands, is folding all at once.
+    half = folds.compacted(frame(spark, rows[:160]), False).withColumn("expires_at_ms", F.lit(None).cast("long")).withColumn("txn_id", F.lit(None).cast("long")).withColumn("rec_type", F.lit(0).cast("byte"))
+    again = {bytes(r.key): (r.cells, r.a) for r in folds.fold(half.unionByName(frame(spark, rows[160:]))).collect() if not r.error}
+    assert again == {k: (r.cells, r.a) for k, r in got.items() if not r.error}
+    assert {(bytes(r.key), r.seq_id) for r in folds.compacted(df, True).where("op_type = 1").collect()} == {(b"\x01\x02gone", 506)}
+    assert folds.fold(df.limit(0)).count() == 0 and folds.compacted(df.limit(0), True).count() == 0
+
+
+def test_states_of_sketches():
+    for kind, a, b in ((1, 100, 3), (2, 10, 4), (3, 6, 0)):
+        x, y = folds.encode(kind, a, b, [1, 5], [1, 1]), folds.encode(kind, a, b, [5, 7], [1, 1])
+        both = folds.decode(folds.merge(x, y))[3]
+        assert [int(v) for v in both[[1, 5, 7]]] == [1, 2 if kind == 2 else 1, 1] and int(both.sum()) == (4 if kind == 2 else 3)
+        assert folds.clear(x) == folds.empty(kind, a, b) and not folds.decode(folds.clear(x))[3].any()
+        with pytest.raises(ValueError):
+            folds.merge(x, folds.empty(kind, a + 1, b))
+        assert folds.decode(x[:-1]) is None and folds.decode(b"") is None and folds.decode(b"Z" + x[1:]) is None
+    with pytest.raises(ValueError):
+        folds.clear(b"none")
+    with pytest.raises(ValueError):
+        folds.register(1, folds.REGISTRY[1])
 
 
 def merkle_root(hashes):
