@@ -1,12 +1,16 @@
-"""Planning compactions from the manifest, and what a merge of files holds."""
+"""Planning compactions from the manifest, and what a merge of files holds.
+
+Nulls: entries without store, layer or name list nothing; records without store, key or sequence id are none; copies are one.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltbed.functions.columns import DEL, is_reserved
-from siltbed.operators.resolve import newest, tombstones, with_cover
+from siltbed.functions.columns import DEL, RANGEDEL, is_reserved
+from siltbed.operators import folds, history
+from siltbed.operators.resolve import newest, not_expired, tombstones, with_cover
 from siltbed.operators.smallfiles import listed_records, listing
 
 
@@ -70,18 +74,56 @@ def size_tiered_plan(manifest: DataFrame, threshold: int = 4) -> DataFrame:
     return tiers.join(last, "store_id").select("store_id", "layer", "files", "bytes", to.alias("to_layer"), (F.col("layer") == F.col("last_layer")).alias("drops_tombstones"))
 
 
-def merged(records: DataFrame, manifest: DataFrame, layers: list[int] | None = None, drop_tombstones: bool = True) -> DataFrame:
-    """What one file made of the listed files of some layers (all by default) holds: store_id, key, seq_id, op_type.
+def surviving(ranges: DataFrame) -> DataFrame:
+    """Range deletes (store_id, start_key, end_key, seq_id) that are the newest somewhere in their span; the others decide nothing."""
+    from siltbed.operators.resolve import fragments
+
+    ranges = ranges.groupBy("store_id", "start_key", "end_key").agg(F.max("seq_id").alias("seq_id"))
+    pieces = fragments(ranges).select("store_id", "seq_id", F.col("start_key").alias("at"))
+    # A sequence id belongs to one range delete, or to very few.
+    return ranges.join(pieces, ["store_id", "seq_id"]).where("at between start_key and end_key").select("store_id", "start_key", "end_key", "seq_id").distinct()
+
 
-    The newest version of each key is kept. With drop_tombstones deletes go; else they stay, as
-    older versions may lie deeper. Keys under a newer range delete go; reserved keys keep their newest state.
+def merge_records(rows: DataFrame, drop_tombstones: bool, now_ms: int | None = None, snapshots: DataFrame | None = None) -> DataFrame:
+    """What remains of records in one merge: store_id, key, seq_id, op_type, value, expires_at_ms.
+
+    The newest version of each user key, and for the keys of snapshots (store_id, key, since_seq) also the
+    versions these keep; keys under a newer range delete go; sketches are folded (folds.compacted()).
+    With drop_tombstones, for merges that no older record can lie beneath, deletes and range deletes go. Else
+    deletes stay, surviving range deletes stay (op RANGEDEL, value the inclusive end), and a newest version that has expired
+    at now_ms becomes a delete, as each of them hides older versions in files that take no part. Range deletes also stay where snapshots keep versions.
     """
+    columns = ["store_id", "key", "seq_id", "op_type", "value", "expires_at_ms"]
+    user = rows.where(~is_reserved(F.col("key")))
+    ranges = tombstones(rows)
+    kept = with_cover(newest(user), ranges).where("cover_seq is null").drop("cover_seq")
+    if now_ms is not None:
+        gone = ~not_expired(now_ms)
+        kept = kept.select("store_id", "key", "seq_id", F.when(gone, F.lit(DEL)).otherwise(F.col("op_type")).cast("byte").alias("op_type"), F.when(~gone, F.col("value")).alias("value"), F.when(~gone, F.col("expires_at_ms")).alias("expires_at_ms"))
+    if drop_tombstones:
+        kept = kept.where(F.col("op_type") != DEL)
+    out = kept.select(*columns)
+    if snapshots is not None:
+        held = history.kept_by_snapshots(user, snapshots)
+        if now_ms is not None:
+            held = held.where(not_expired(now_ms))
+        out = out.unionByName(held.select(*columns)).dropDuplicates(["store_id", "key", "seq_id", "op_type"])
+    sketches = folds.compacted(rows, keep_deletes=not drop_tombstones).withColumn("expires_at_ms", F.lit(None).cast("long"))
+    out = out.withColumn("op_type", F.col("op_type").cast("byte")).unionByName(sketches.select(*columns))
+    if not drop_tombstones or snapshots is not None:
+        left = surviving(ranges).select("store_id", F.col("start_key").alias("key"), "seq_id", F.lit(RANGEDEL).cast("byte").alias("op_type"), F.col("end_key").alias("value"), F.lit(None).cast("long").alias("expires_at_ms"))
+        out = out.unionByName(left)
+    return out
+
+
+def merged(records: DataFrame, manifest: DataFrame, layers: list[int] | None = None, drop_tombstones: bool = True, now_ms: int | None = None, snapshots: DataFrame | None = None) -> DataFrame:
+    """merge_records() of the listed files of some layers, all by default."""
     files = listing(manifest)
     if layers is not None:
         files = files.where(F.col("layer").isin(layers))
-    rows = listed_records(records, files.select("store_id", "layer", "file_name"))
-    top = newest(rows)
-    kept = with_cover(top, tombstones(rows)).where(F.col("cover_seq").isNull() | is_reserved(F.col("key")))
-    if drop_tombstones:
-        kept = kept.where(F.col("op_type") != DEL)
-    return kept.select("store_id", "key", "seq_id", "op_type")
+    return merge_records(listed_records(records, files.select("store_id", "layer", "file_name")), drop_tombstones, now_ms, snapshots)
+
+
+def rest(records: DataFrame, manifest: DataFrame, layers: list[int]) -> DataFrame:
+    """The records of listed files of all other layers."""
+    return listed_records(records, listing(manifest).where(~F.col("layer").isin(layers)).select("store_id", "layer", "file_name"))

@@ -225,15 +225,29 @@ def wal_segment_gc(spark, d):
 
 def _merged(spark, d, **how):
     rows = compaction.merged(table(spark, d, "sst_records"), table(spark, d, "sstable_manifest"), **how)
-    return _hexed(rows.withColumn("op_type", F.col("op_type").cast("int")))
+    return rows.withColumn("op_type", F.col("op_type").cast("int"))
 
 
 def compact_partial(spark, d):
-    return _merged(spark, d, layers=[0, 1], drop_tombstones=False)
+    """The two upper layers merged: deletes and range deletes stay, as older versions may lie deeper."""
+    rows = _merged(spark, d, layers=[0, 1], drop_tombstones=False)
+    return _hexed(rows.select("store_id", "key", "seq_id", "op_type", F.when(F.col("op_type") == 3, F.col("value")).alias("end_key")))
+
+
+def compact_partial_state(spark, d):
+    """The visible state of the two upper layers merged, over the other layers as they are: that of all files."""
+    upper = _merged(spark, d, layers=[0, 1], drop_tombstones=False)
+    both = upper.unionByName(compaction.rest(table(spark, d, "sst_records"), table(spark, d, "sstable_manifest"), [0, 1]).select(*upper.columns))
+    return _hexed(resolve.state(both).select("store_id", "key", "seq_id"))
 
 
 def compact_full(spark, d):
-    return _merged(spark, d)
+    return _hexed(_merged(spark, d).select("store_id", "key", "seq_id", "op_type"))
+
+
+def compact_expired(spark, d):
+    """All layers merged at a moment: expired versions go as well."""
+    return _hexed(_merged(spark, d, now_ms=NOW_MS).select("store_id", "key", "seq_id", "op_type"))
 
 
 def merkle_root(spark, d):
@@ -403,7 +417,7 @@ range_scan range_scan_page prefix_scan prefix_scan_page range_iterate page_direc
 range_delete_visible range_tombstone_fragments covered_keys_anti_join ttl_visible ttl_remaining ttl_index ttl_expiry_events expire_existing_keys
 get_versions get_version_n versions_top_n version_diff snapshot_versions
 batch_write_atomic batch_delete_atomic wal_committed_txns wal_replay_after_watermark
-flush_summary sstable_metadata list_sstables compaction_candidates compaction_overflow_plan compaction_size_tiered_plan wal_segment_gc compact_partial compact_full merkle_root merkle_validate merkle_proof
+flush_summary sstable_metadata list_sstables compaction_candidates compaction_overflow_plan compaction_size_tiered_plan wal_segment_gc compact_partial compact_partial_state compact_full compact_expired merkle_root merkle_validate merkle_proof
 bloom_params bloom_bits bloom_contains bloom_merge cms_params cms_table cms_estimate cms_merge hll_params hll_registers hll_count hll_merge
 simhash_tokens simhash_fingerprint simhash_distance simhash_hex simhash_near_dups simhash_classes merge_fold sketch_catalog
 notify_point_events notify_range_events token_bucket_admission backup_incremental_files backup_restore_set backup_cascade_closure"""

@@ -28,6 +28,7 @@ _ALL = f"WITH {_EFF}, {_state('state')}"
 _OLD = f"WITH {_EFF}, {_state('state', as_of=AS_OF)}"
 _HISTORY = f"""WITH {_EFF}, hist AS (
   SELECT *, row_number() OVER (PARTITION BY store_id, k ORDER BY seq_id DESC) - 1 AS version FROM eff WHERE op_type IN (0, 2))"""
+_PAGE = "QUALIFY row_number() OVER (PARTITION BY store_id ORDER BY k) BETWEEN 31 AND 40"
 _LISTED = """
 listed AS (
   SELECT store_id, layer, regexp_extract(base_file_name, '[^/]*$') file_name, max(size_bytes) size_bytes, min(hex(min_key)) min_key, max(hex(max_key)) max_key
@@ -38,14 +39,26 @@ pages AS (
   FROM (SELECT *, row_number() OVER (PARTITION BY store_id ORDER BY k) - 1 AS n FROM state) GROUP BY ALL)"""
 
 
-def _merged(layers: str, tombstones: str) -> str:
+def _merged(layers: str, tombstones: str, live: str = "true") -> str:
+    """Newest user versions, newest or unfoldable sketch records, and optionally the range deletes that are the newest at some edge in their span."""
     return f"""
 WITH {_LISTED},
-recs AS (SELECT DISTINCT s.store_id, seq_id, op_type, hex(key) k, hex(value) v FROM sst_records s JOIN listed USING (store_id, file_name) WHERE {layers}),
-newest AS (SELECT * FROM recs WHERE op_type IN (0, 1, 2) QUALIFY row_number() OVER (PARTITION BY store_id, k ORDER BY seq_id DESC) = 1)
-SELECT store_id, k AS key, seq_id, op_type::INT AS op_type FROM newest n
-WHERE {tombstones} AND (k[1:2] = '01' OR NOT EXISTS (
-  SELECT 1 FROM recs r WHERE r.op_type = 3 AND r.store_id = n.store_id AND r.seq_id > n.seq_id AND n.k BETWEEN r.k AND r.v))"""
+recs AS (SELECT DISTINCT s.store_id, seq_id, op_type, expires_at_ms, hex(key) k, hex(value) v FROM sst_records s JOIN listed USING (store_id, file_name) WHERE {layers}),
+newest AS (SELECT * FROM recs WHERE op_type IN (0, 1, 2) QUALIFY row_number() OVER (PARTITION BY store_id, k ORDER BY seq_id DESC) = 1),
+sk AS (
+  SELECT store_id, k, min(seq_id) FILTER (v[1:2] = '00') first_base, min(seq_id) FILTER (v[1:2] = 'FF') first_operand FROM recs
+  WHERE op_type = 2 AND k[1:2] = '01' GROUP BY store_id, k),
+bad AS (SELECT store_id, k FROM sk WHERE k[3:4] <> '04' AND first_operand IS NOT NULL AND (first_base IS NULL OR first_operand < first_base)),
+t AS (SELECT DISTINCT store_id, k s, v e, seq_id FROM recs WHERE op_type = 3 AND k <= v),
+edges AS (SELECT store_id, s p FROM t UNION SELECT store_id, e || '00' FROM t),
+kept AS (
+  SELECT store_id, k AS key, seq_id, op_type::INT AS op_type, NULL::VARCHAR AS end_key FROM newest n
+  WHERE k[1:2] <> '01' AND {live} AND NOT EXISTS (
+    SELECT 1 FROM recs r WHERE r.op_type = 3 AND r.store_id = n.store_id AND r.seq_id > n.seq_id AND n.k BETWEEN r.k AND r.v)
+  UNION ALL SELECT store_id, k, seq_id, op_type, NULL FROM newest n WHERE k[1:2] = '01' AND op_type = 2 AND NOT EXISTS (SELECT 1 FROM bad b WHERE b.store_id = n.store_id AND b.k = n.k)
+  UNION ALL SELECT DISTINCT store_id, k, seq_id, op_type, NULL FROM recs r WHERE op_type = 2 AND EXISTS (SELECT 1 FROM bad b WHERE b.store_id = r.store_id AND b.k = r.k)
+  UNION ALL SELECT DISTINCT t.store_id, t.s, t.seq_id, 3, t.e FROM t JOIN edges x ON x.store_id = t.store_id AND x.p BETWEEN t.s AND t.e
+  WHERE {tombstones} AND NOT EXISTS (SELECT 1 FROM t o WHERE o.store_id = t.store_id AND o.seq_id > t.seq_id AND x.p BETWEEN o.s AND o.e))"""
 
 
 def _hash(value: str, seed: str) -> str:
@@ -138,15 +151,17 @@ SELECT store_id, k AS key, seq_id, row_number() OVER (PARTITION BY store_id ORDE
   SELECT 1 FROM both_ r WHERE r.op_type = 3 AND r.store_id = n.store_id AND r.seq_id > n.seq_id AND n.k BETWEEN r.k AND r.v)""",
     "user_keys_only": f"{_ALL} SELECT store_id, k AS key, seq_id, op_type::INT AS op_type FROM state_newest WHERE k[1:2] <> '01'",
     "range_scan": f"{_NOW} SELECT store_id, k AS key, seq_id FROM state WHERE k BETWEEN '{LOWER}' AND '{UPPER}'",
-    "range_scan_page": f"{_NOW} SELECT k AS key, seq_id, v AS value FROM state WHERE store_id = 1 AND k BETWEEN '{LOWER}' AND '{UPPER}' ORDER BY k LIMIT 10 OFFSET 30",
+    "range_scan_page": f"{_NOW} SELECT store_id, k AS key, seq_id, v AS value FROM state WHERE k BETWEEN '{LOWER}' AND '{UPPER}' {_PAGE}",
     "prefix_scan": f"{_NOW} SELECT store_id, k AS key, seq_id FROM state WHERE starts_with(k, '{PREFIX}')",
-    "prefix_scan_page": f"{_NOW} SELECT k AS key, seq_id, v AS value FROM state WHERE store_id = 1 AND starts_with(k, '{PREFIX}') ORDER BY k LIMIT 10 OFFSET 30",
+    "prefix_scan_page": f"{_NOW} SELECT store_id, k AS key, seq_id, v AS value FROM state WHERE starts_with(k, '{PREFIX}') {_PAGE}",
     "range_iterate": f"{_NOW} SELECT store_id, k AS key, seq_id, row_number() OVER (PARTITION BY store_id ORDER BY k) - 1 AS position FROM state WHERE k BETWEEN '{LOWER}' AND '{UPPER}'",
     "page_directory": f"{_NOW}, {_DIRECTORY} SELECT * FROM pages",
     "page_dirty": f"""{_OLD}, {_DIRECTORY},
-changed AS (SELECT DISTINCT store_id, k FROM eff WHERE seq_id > {AS_OF} AND op_type IN (0, 1))
-SELECT p.store_id, page, count(c.k) AS changed_keys, count(c.k) > 0 AS dirty
-FROM pages p LEFT JOIN changed c ON c.store_id = p.store_id AND c.k BETWEEN p.first_key AND p.last_key GROUP BY p.store_id, page""",
+changed AS (SELECT DISTINCT store_id, k FROM eff WHERE seq_id > {AS_OF} AND op_type IN (0, 1)),
+wiped AS (SELECT p.store_id, page FROM pages p JOIN eff r ON r.op_type = 3 AND r.seq_id > {AS_OF} AND r.store_id = p.store_id AND r.k <= r.v AND r.k <= p.last_key AND r.v >= p.first_key GROUP BY ALL)
+SELECT p.store_id, p.page, count(c.k) AS changed_keys, count(c.k) > 0 OR any_value(w.page) IS NOT NULL AS dirty
+FROM pages p LEFT JOIN changed c ON c.store_id = p.store_id AND c.k BETWEEN p.first_key AND p.last_key
+LEFT JOIN wiped w ON w.store_id = p.store_id AND w.page = p.page GROUP BY p.store_id, p.page""",
     "range_delete_visible": f"{_ALL} SELECT store_id, k AS key, seq_id FROM state",
     "range_tombstone_fragments": f"""WITH {_EFF},
 t AS (SELECT DISTINCT store_id, k s, v e, seq_id FROM eff WHERE op_type = 3 AND k <= v),
@@ -175,7 +190,7 @@ SELECT event_id, user_id || u AS literal, user_id * CASE u WHEN 'ms' THEN 1 WHEN
 SELECT a.store_id, a.k AS key, a.version, a.seq_id, b.seq_id AS old_seq, (octet_length(a.value) - octet_length(b.value))::INT AS longer_by, a.v IS NOT DISTINCT FROM b.v AS same_value
 FROM hist a LEFT JOIN hist b ON a.store_id = b.store_id AND a.k = b.k AND b.version = a.version + 1""",
     "snapshot_versions": f"""WITH {_EFF},
-snaps AS (SELECT DISTINCT store_id, hex(key) k FROM oplog o WHERE segment_id = 1 AND op_type = 0 AND (rec_type = 0 OR rec_type = 2 AND EXISTS (
+snaps AS (SELECT DISTINCT store_id, hex(key) k FROM oplog o WHERE op_type = 0 AND (rec_type = 0 OR rec_type = 2 AND EXISTS (
   SELECT 1 FROM oplog c WHERE c.rec_type = 3 AND c.store_id = o.store_id AND c.txn_id = o.txn_id))),
 each_ AS (SELECT store_id, k, seq_id, max(seq_id) FILTER (seq_id <= {AS_OF}) OVER (PARTITION BY store_id, k) base FROM eff JOIN snaps USING (store_id, k) WHERE op_type IN (0, 1, 2))
 SELECT store_id, k AS key, seq_id FROM each_ WHERE seq_id > {AS_OF} OR seq_id = base""",
@@ -214,8 +229,14 @@ FROM oplog LEFT JOIN marks USING (store_id) WHERE segment_id IS NOT NULL GROUP B
     "compaction_size_tiered_plan": f"""WITH {_LISTED}, last AS (SELECT store_id, max(layer) last_layer FROM listed GROUP BY 1)
 SELECT store_id, layer, count(*) AS files, sum(size_bytes)::BIGINT AS bytes, CASE WHEN layer = last_layer THEN layer ELSE layer + 1 END AS to_layer,
   layer = last_layer AS drops_tombstones FROM listed JOIN last USING (store_id) GROUP BY store_id, layer, last_layer HAVING count(*) >= 4""",
-    "compact_partial": _merged("layer IN (0, 1)", "true"),
-    "compact_full": _merged("true", "op_type <> 1"),
+    "compact_partial": f"{_merged('layer IN (0, 1)', 'true')} SELECT * FROM kept",
+    "compact_partial_state": f"""WITH {_LISTED},
+recs AS (SELECT DISTINCT s.store_id, seq_id, op_type, hex(key) k, hex(value) v FROM sst_records s JOIN listed USING (store_id, file_name)),
+newest AS (SELECT * FROM recs WHERE op_type IN (0, 1, 2) QUALIFY row_number() OVER (PARTITION BY store_id, k ORDER BY seq_id DESC) = 1)
+SELECT store_id, k AS key, seq_id FROM newest n WHERE op_type = 0 AND k[1:2] <> '01' AND NOT EXISTS (
+  SELECT 1 FROM recs r WHERE r.op_type = 3 AND r.store_id = n.store_id AND r.seq_id > n.seq_id AND n.k BETWEEN r.k AND r.v)""",
+    "compact_full": f"{_merged('true', 'false', 'op_type <> 1')} SELECT * EXCLUDE (end_key) FROM kept",
+    "compact_expired": f"{_merged('true', 'false', f'op_type <> 1 AND (coalesce(n.expires_at_ms, 0) = 0 OR n.expires_at_ms > {NOW})')} SELECT * EXCLUDE (end_key) FROM kept",
     "merkle_root": f"WITH RECURSIVE {_TREE} SELECT store_id, file_name, height, hs[1] AS root FROM tree WHERE len(hs) = 1",
     "merkle_validate": f"""WITH {_LEAVES}
 SELECT store_id, file_name, count(*) FILTER (h <> hurt) = 0 AS valid, count(*) FILTER (h <> hurt) AS bad_blocks, min(i) FILTER (h <> hurt) AS first_bad FROM leaves GROUP BY store_id, file_name""",

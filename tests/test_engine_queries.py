@@ -20,14 +20,12 @@ def db():
     return connection
 
 
-@pytest.mark.parametrize("name", ["range_scan_page", "prefix_scan_page"])
-def test_pages_of_every_store(spark, db, name):
-    """The SQL has the page of store 1; with the number of another store it has that store's."""
-    stores = [s for (s,) in db.sql("SELECT DISTINCT store_id FROM oplog WHERE store_id IS NOT NULL").fetchall()]
-    assert len(stores) > 1 and "store_id = 1 " in SQL[name]
-    want = sorted((s, *row) for s in stores for row in db.sql(f"SELECT key, seq_id, value FROM ({SQL[name].replace('store_id = 1 ', f'store_id = {s} ')})").fetchall())
-    got = sorted((r.store_id, r.key, r.seq_id, r.value) for r in engine_queries.QUERIES[name](spark, ROOT).collect())
-    assert got == want and len({g[0] for g in got}) > 1
+@pytest.mark.parametrize("name", ["range_scan_page", "prefix_scan_page", "snapshot_versions", "page_dirty"])
+def test_queries_of_every_store(spark, db, name):
+    want = db.sql(SQL[name])
+    columns = want.columns
+    got = sorted(tuple(r[c] for c in columns) for r in engine_queries.QUERIES[name](spark, ROOT).collect())
+    assert got == sorted(want.fetchall()) and len({g[columns.index("store_id")] for g in got}) > 1
 
 
 LOG = "store_id int, seq_id long, op_type byte, key binary, value binary, expires_at_ms long"
@@ -41,11 +39,3 @@ def test_range_deletes_make_pages_dirty(spark):
     pages = scan.dirty_pages(spark.createDataFrame(puts + later + old, LOG), 20, 2).collect()
     got = {(r.store_id, r.page): (r.changed_keys, r.dirty) for r in pages}
     assert got == {(1, 0): (0, True), (1, 1): (0, True), (1, 2): (1, True), (1, 3): (0, False), (1, 4): (0, True), (2, 0): (0, False)}
-
-
-def test_snapshots_of_all_segments(spark, db):
-    """The SQL has the keys of segment 1; without that condition it has all."""
-    assert "segment_id = 1 AND " in SQL["snapshot_versions"]
-    want = sorted(db.sql(f"SELECT store_id, key, seq_id FROM ({SQL['snapshot_versions'].replace('segment_id = 1 AND ', '')})").fetchall())
-    got = sorted((r.store_id, r.key, r.seq_id) for r in engine_queries.QUERIES["snapshot_versions"](spark, ROOT).collect())
-    assert got == want and len(got) > len(db.sql(SQL["snapshot_versions"]).fetchall())

@@ -267,18 +267,44 @@ def test_merkle(spark, n):
     assert (r.valid, r.bad_blocks, r.first_bad) == (False, 1, n - 1) and merkle.corrupted(leaf, leaf).first().valid
 
 
+FILES = "store_id int, file_name string, entry_no int, seq_id long, op_type byte, key binary, value binary, expires_at_ms long"
+ENTRIES = "store_id int, layer int, base_file_name string, size_bytes long, removed_at timestamp, min_key binary, max_key binary"
+
+
 def test_compaction_keeps_the_state(spark):
     rnd = random.Random(8)
     ops = [(1, f"f{i // 5}", i % 5, i, rnd.choice([0, 0, 1, 3]), rnd.choice([b"a", b"b", b"c", b"d"]), rnd.choice([b"b", b"d"]), None) for i in range(60)]
-    records = spark.createDataFrame(ops, "store_id int, file_name string, entry_no int, seq_id long, op_type byte, key binary, value binary, expires_at_ms long")
-    entries = [(1, 0 if i < 8 else 1, f"x/f{i}", 10, None, b"a", b"d") for i in range(12)]
-    manifest = spark.createDataFrame(entries, "store_id int, layer int, base_file_name string, size_bytes long, removed_at timestamp, min_key binary, max_key binary")
+    records = spark.createDataFrame(ops, FILES)
+    entries = [(1, 0 if i >= 8 else 1, f"x/f{i}", 10, None, b"a", b"d") for i in range(12)]
+    manifest = spark.createDataFrame(entries, ENTRIES)
     want = {(bytes(r.key), r.seq_id) for r in resolve.state(records).collect()}
     assert {(bytes(r.key), r.seq_id) for r in compaction.merged(records, manifest).collect()} == want
-    kept = compaction.merged(records, manifest, [0], drop_tombstones=False)
+    kept = compaction.merged(records, manifest, [1], drop_tombstones=False)
     assert kept.where("seq_id >= 40").count() == 0
+    for layers in ([0], [1]):
+        part = compaction.merged(records, manifest, layers, drop_tombstones=False)
+        both = part.unionByName(compaction.rest(records, manifest, layers).select(*part.columns))
+        assert {(bytes(r.key), r.seq_id) for r in resolve.state(both).collect()} == want
     plan = compaction.leveled_plan(manifest).first()
-    assert (plan.inputs, plan.overlapping) == (8, 4) and compaction.size_tiered_plan(manifest).count() == 2
+    assert (plan.inputs, plan.overlapping) == (4, 8) and compaction.size_tiered_plan(manifest).count() == 2
+    assert compaction.merged(records.limit(0), manifest, drop_tombstones=False).count() == 0
+
+
+def test_partial_compactions_bring_nothing_back(spark):
+    """Range deletes, deletes and expiries of upper layers go on hiding what lies deeper; snapshots keep versions; dominated ranges go."""
+    ops = [
+        (1, "deep", 0, 1, 0, b"k", b"1", None), (1, "deep", 1, 2, 0, b"z9", b"2", None), (1, "deep", 2, 3, 0, b"old", b"3", None), (1, "deep", 3, 4, 0, b"dead", b"4", None),
+        (1, "up", 0, 9, 3, b"a", b"m", None), (1, "up", 1, 8, 3, b"b", b"c", None), (1, "up", 2, 10, 0, b"old", b"5", 50), (1, "up", 3, 11, 1, b"dead", None, None), (1, "up", 4, 12, 0, b"z9", b"6", None), (1, "up", 5, 7, 0, b"z9", b"x", None),
+    ]
+    records, manifest = spark.createDataFrame(ops, FILES), spark.createDataFrame([(1, 0, "up", 1, None, b"a", b"z"), (1, 2, "deep", 1, None, b"a", b"z")], ENTRIES)
+    part = compaction.merged(records, manifest, [0], drop_tombstones=False, now_ms=100)
+    got = sorted((bytes(r.key), r.seq_id, r.op_type) for r in part.collect())
+    assert got == [(b"a", 9, 3), (b"dead", 11, 1), (b"old", 10, 1), (b"z9", 12, 0)]
+    both = part.unionByName(compaction.rest(records, manifest, [0]).select(*part.columns))
+    assert [(bytes(r.key), r.seq_id) for r in resolve.state(both).collect()] == [(b"z9", 12)]
+    snaps = spark.createDataFrame([(1, b"z9", 8)], "store_id int, key binary, since_seq long")
+    whole = compaction.merged(records, manifest, now_ms=100, snapshots=snaps)
+    assert sorted((bytes(r.key), r.seq_id) for r in whole.where("op_type != 3").collect()) == [(b"z9", 7), (b"z9", 12)]
 
 
 def test_many_subscriptions_meet_in_buckets(spark, monkeypatch):
