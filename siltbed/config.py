@@ -8,11 +8,21 @@ from dataclasses import asdict, dataclass, fields
 
 @dataclass(frozen=True)
 class Config:
-    #: Rows of the log from which a flush is due, bytes of a new file, small files that call for a compaction.
+    #: Rows of the log after which it is flushed to a table of layer 0, bytes of a new file, writes of a log segment before the next begins.
     flush_rows: int = 100_000
     file_bytes: int = 64 << 20
-    small_files: int = 8
+    segment_writes: int = 1000
+    #: Compaction: leveled (files of layer 0, bytes of layer 1, factor of each next layer) or size-tiered (tables of a layer); number of layers.
     compaction: str = "leveled"
+    first_tables: int = 4
+    layer_bytes: int = 256 << 20
+    layer_factor: int = 10
+    tier_tables: int = 4
+    layers: int = 7
+    #: Expiries are told by a stream that looks this often.
+    expiry_events: bool = False
+    expiry_refresh_ms: int = 1000
+    debug: bool = False
     #: Calls per interval; 0 calls turn the limit off.
     bucket_tokens: int = 0
     bucket_interval_ms: int = 1000
@@ -24,7 +34,7 @@ class Config:
     def __post_init__(self):
         if self.compaction not in ("leveled", "size-tiered"):
             raise ValueError(f"compaction {self.compaction!r} is neither leveled nor size-tiered")
-        for name in ("flush_rows", "file_bytes", "small_files", "bucket_interval_ms"):
+        for name in ("flush_rows", "file_bytes", "segment_writes", "first_tables", "layer_bytes", "layer_factor", "tier_tables", "layers", "expiry_refresh_ms", "bucket_interval_ms"):
             if getattr(self, name) <= 0:
                 raise ValueError(f"{name} must be above 0")
         if self.bucket_tokens < 0 or not 4 <= self.hll_precision <= 18 or not 0 < self.bloom_rate < 1:

@@ -107,6 +107,13 @@ def hamming(a_hi: Column, a_lo: Column, b_hi: Column, b_lo: Column) -> Column:
     return F.bit_count(a_hi.bitwiseXOR(b_hi)) + F.bit_count(a_lo.bitwiseXOR(b_lo))
 
 
+def parse_fingerprint(text: str) -> int:
+    """A fingerprint from its sixteen hexadecimal digits."""
+    if len(text) != 16 or set(text.lower()) - set("0123456789abcdef"):
+        raise ValueError(f"{text!r} is no fingerprint of sixteen hexadecimal digits")
+    return int(text, 16)
+
+
 def near_fingerprints(prints: DataFrame, most: int = 3, spare: int = 3) -> DataFrame:
     """Pairs of different fingerprints (hi, lo) within `most` bits: a_hi, a_lo, b_hi, b_lo, distance.
 
