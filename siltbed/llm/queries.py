@@ -1,17 +1,30 @@
-"""Queries over the documents: leaked test items, source mixture, subject areas."""
+"""Queries over documents and deliveries: seen keys, leaked test items, source mixture, subject areas."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siltbed.llm import leakage, mixing, subjects
+from siltbed.llm import leakage, mixing, seen, subjects
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    oplog = _table(spark, sf_dir, "oplog").where("rec_type in (0, 2) and op_type in (0, 1, 2)")
+    return oplog.selectExpr("store_id as grp", "key", "delivery_id")
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return seen.seen_before(_keyed(spark, sf_dir))
+
+
+def p3_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return seen.error_rate(_keyed(spark, sf_dir)).withColumnRenamed("grp", "store_id")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaked(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "eval_items"))
 
@@ -53,5 +66,17 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mix(spark, sf_dir)[1]
 
 
-QUERIES = {"p6_found": p6_found, "p6_items": p6_items, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_composition": p8_composition}
-SQL: dict[str, str] = {}
+QUERIES = {"p3_found": p3_found, "p3_error_rate": p3_error_rate, "p6_found": p6_found, "p6_items": p6_items, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_composition": p8_composition}
+SQL: dict[str, str] = {
+    "p3_found": """
+WITH rows AS (SELECT store_id, key, delivery_id FROM oplog WHERE rec_type IN (0, 2) AND op_type IN (0, 1, 2)),
+first AS (SELECT store_id, key, min(delivery_id) first_id FROM rows GROUP BY store_id, key)
+SELECT delivery_id FROM rows JOIN first USING (store_id, key) WHERE delivery_id > first_id""",
+    "p3_error_rate": f"""
+WITH rows AS (SELECT store_id, key, delivery_id, md5(key)[1:{seen.REPORT_BITS // 4}] h FROM oplog WHERE rec_type IN (0, 2) AND op_type IN (0, 1, 2)),
+first AS (SELECT store_id, key, h, min(delivery_id) first_id, count(*) n FROM rows GROUP BY ALL),
+judged AS (SELECT *, min(first_id) OVER (PARTITION BY store_id, h) < first_id AS taken_for_seen FROM first)
+SELECT store_id, sum(n)::BIGINT AS decisions, (sum(n) - count(*))::BIGINT AS seen, count(*) FILTER (taken_for_seen) AS wrong_by_hash, 0::BIGINT AS wrong,
+  count(*) FILTER (taken_for_seen) / sum(n)::DOUBLE AS rate_by_hash
+FROM judged GROUP BY store_id""",
+}
