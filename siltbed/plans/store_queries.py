@@ -1,11 +1,11 @@
-"""Queries over the store's own tables: orphans, changes, seen keys, small files, what is new."""
+"""Queries over the store's own tables: orphans, changes, small files, what is new."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltbed.operators import changes, newonly, orphans, seen, smallfiles
+from siltbed.operators import changes, newonly, orphans, smallfiles
 from siltbed.session import scratch, settle
 from siltbed.sources import store
 
@@ -22,19 +22,6 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.current_keys(store.effective(store.table(spark, sf_dir, "oplog"))).select("store_id", "seq_id")
 
 
-def _keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    oplog = store.table(spark, sf_dir, "oplog").where("rec_type in (0, 2) and op_type in (0, 1, 2)")
-    return oplog.selectExpr("store_id as grp", "key", "delivery_id")
-
-
-def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return seen.seen_before(_keyed(spark, sf_dir))
-
-
-def p3_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return seen.error_rate(_keyed(spark, sf_dir)).withColumnRenamed("grp", "store_id")
-
-
 def _compacted(spark: SparkSession, sf_dir: str) -> tuple[smallfiles.CompactedTable, DataFrame, DataFrame]:
     records, manifest = store.table(spark, sf_dir, "sst_records"), store.table(spark, sf_dir, "sstable_manifest")
     compacted = smallfiles.CompactedTable(spark, scratch(spark, "compacted"))
@@ -73,7 +60,7 @@ def p5_backlog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _new_items(spark, sf_dir).groupBy("kind", "store_id").agg(F.count("*").alias("items"), F.min("item_id").alias("first_item"), F.max("item_id").alias("last_item"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_daily": p1_daily, "p2_found": p2_found, "p3_found": p3_found, "p3_error_rate": p3_error_rate, "p4_found": p4_found, "p4_layout": p4_layout, "p5_found": p5_found, "p5_backlog": p5_backlog}
+QUERIES = {"p1_found": p1_found, "p1_daily": p1_daily, "p2_found": p2_found, "p4_found": p4_found, "p4_layout": p4_layout, "p5_found": p5_found, "p5_backlog": p5_backlog}
 
 _REFS = """
 refs AS (
@@ -140,13 +127,6 @@ newest AS (
   WHERE op_type IN (0, 1) AND hex(key)[1:2] <> '01' GROUP BY store_id, key)
 SELECT store_id, seq_id FROM newest n WHERE op_type = 0 AND NOT EXISTS (
   SELECT 1 FROM eff r WHERE r.op_type = 3 AND r.store_id = n.store_id AND r.seq_id > n.seq_id AND n.key BETWEEN r.key AND r.value)""",
-    "p3_found": """
-WITH rows AS (SELECT store_id, key, delivery_id FROM oplog WHERE rec_type IN (0, 2) AND op_type IN (0, 1, 2)),
-first AS (SELECT store_id, key, min(delivery_id) first_id FROM rows GROUP BY store_id, key)
-SELECT delivery_id FROM rows JOIN first USING (store_id, key) WHERE delivery_id > first_id""",
-    "p3_error_rate": """
-SELECT store_id, count(*) AS decisions, count(*) - count(DISTINCT key) AS seen, 0::BIGINT AS wrong_by_hash, 0::BIGINT AS wrong, 0.0::DOUBLE AS rate_by_hash
-FROM oplog WHERE rec_type IN (0, 2) AND op_type IN (0, 1, 2) GROUP BY store_id""",
     "p4_found": """
 SELECT DISTINCT m.store_id, m.layer, s.seq_id FROM sst_records s JOIN sstable_manifest m
 ON m.store_id = s.store_id AND regexp_extract(m.base_file_name, '[^/]*$') = s.file_name WHERE m.removed_at IS NULL""",

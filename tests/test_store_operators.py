@@ -1,4 +1,4 @@
-"""The five operators over the store's tables against plain Python, with dirty, empty and repeated input."""
+"""The four operators over the store's tables against plain Python, with dirty, empty and repeated input."""
 
 import random
 from datetime import datetime
@@ -6,7 +6,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from siltbed.operators import changes, newonly, orphans, seen, smallfiles
+from siltbed.operators import changes, newonly, orphans, smallfiles
 from siltbed.session import scratch
 
 REF = "ref_table string, ref_id long, store_id int, target string, at long, slice int, delta string"
@@ -109,29 +109,6 @@ def test_changes_empty(spark):
     assert changes.current_keys(spark.createDataFrame([], LOG)).count() == 0
 
 
-@pytest.mark.parametrize("batches,bits", [(1, 64), (3, 64), (7, 3)])
-def test_seen(spark, batches, bits):
-    rnd = random.Random(bits)
-    rows = [(rnd.choice([1, 2, 2, None]), rnd.choice([b"hot", b"hot", b"", b"\x00", None, bytes([rnd.randrange(40)])]), rnd.choice([i, i, i, None]), 9, "y") for i in range(300)]
-    rows += rows[:9]
-    df = spark.createDataFrame(rows, "grp int, key binary, delivery_id long, h int, fence string")
-    known = [r for r in rows if None not in r[:3]]
-    want = sorted(d for g, k, d, *_ in known if any(g == g2 and k == k2 and d2 < d for g2, k2, d2, *_ in known))
-    assert sorted(r.delivery_id for r in seen.seen_before(df, batches, bits).collect()) == want
-    report = {r.grp: r for r in seen.error_rate(df.dropDuplicates(), batches, bits).collect()}
-    distinct = set(known)
-    assert {g: r.decisions for g, r in report.items()} == {g: sum(r[0] == g for r in distinct) for g in (1, 2)}
-    assert all(r.wrong == 0 for r in report.values()) and (bits == 64) == all(r.wrong_by_hash == 0 for r in report.values())
-
-
-def test_seen_levels_and_empty(spark):
-    rows = spark.createDataFrame([(1, bytes([i % 50]), i) for i in range(200)], "grp int, key binary, delivery_id long")
-    runs = seen.index_deliveries(rows, batches=6)
-    assert len(runs.levels) > 1 and all(len(level) <= runs.fan_out for level in runs.levels)
-    assert sum(r.count() for r in runs.read()) == 50
-    assert seen.seen_before(rows.limit(0)).count() == 0
-
-
 RECORD = "store_id int, file_name string, entry_no int, seq_id long, op_type byte, key binary, value binary, expires_at_ms long, layer string, size_bytes int"
 ENTRY = "entry_id long, store_id int, layer int, base_file_name string, size_bytes long, removed_at timestamp, key string"
 
