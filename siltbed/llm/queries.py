@@ -37,6 +37,11 @@ def p6_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.where("copies > 0 or reparameterised > 0")
 
 
+def p6_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a re-parameterised form of a class of test items, a row a class."""
+    return leakage.variants(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "eval_items"))
+
+
 def _subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subjects.subjects_of(*(_table(spark, sf_dir, t) for t in ("documents", "subject_samples", "subjects")))
 
@@ -66,7 +71,7 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mix(spark, sf_dir)[1]
 
 
-QUERIES = {"p3_found": p3_found, "p3_error_rate": p3_error_rate, "p6_found": p6_found, "p6_items": p6_items, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_composition": p8_composition}
+QUERIES = {"p3_found": p3_found, "p3_error_rate": p3_error_rate, "p6_found": p6_found, "p6_items": p6_items, "p6_variants": p6_variants, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_composition": p8_composition}
 SQL: dict[str, str] = {
     "p3_found": """
 WITH rows AS (SELECT store_id, key, delivery_id FROM oplog WHERE rec_type IN (0, 2) AND op_type IN (0, 1, 2)),

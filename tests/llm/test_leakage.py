@@ -80,10 +80,41 @@ def test_empty(spark):
     assert found(spark, [(1, ITEM)], [(1, None), (None, ITEM), (2, "  ")]) == []
 
 
-def test_size_bound(spark, monkeypatch):
-    monkeypatch.setattr(leakage, "MOST_CHARS", 10)
-    with pytest.raises(ValueError):
-        found(spark, [(1, ITEM)])
+def test_more_items_than_one_block_holds(spark, monkeypatch):
+    docs = [(1, PROSE + ITEM + PROSE), (2, OTHER), (3, ITEM + OTHER)]
+    want = found(spark, docs)
+    monkeypatch.setattr(leakage, "MOST_CHARS", 300)
+    assert len(leakage.load_items(spark.createDataFrame([(1, ITEM), (2, OTHER)], "item_id long, question string"))) > 2
+    assert found(spark, docs) == want == [(1, 1), (2, 2), (3, 1), (3, 2)]
+
+
+def variant(k):
+    text = ITEM
+    for i, (word, number) in enumerate((("Karvolin", "417"), ("Obrintal", "1834"), ("Selkamor", "93"), ("Dunverrick", "18 "))):
+        text = text.replace(word, f"{'BDFGKLMNPR'[k % 10]}ov{'aeiou'[k // 10 % 5]}r{'bdfgklmnpr'[k // 50 % 10]}{'aei'[k // 500]}{'nstr'[i]}").replace(number, f"{1000 * (i + 2) + k}{' ' if number[-1] == ' ' else ''}")
+    return text
+
+
+@pytest.mark.parametrize("n", [21, 100, 1000])
+def test_families_of_one_template(spark, n):
+    """Every member of a family is found by its own values; other values are re-parameterised, one row for the family."""
+    items = [(k, variant(k)) for k in range(n)]
+    unseen = ITEM
+    for a, b in (("Karvolin", "Mastoren"), ("Obrintal", "Festunix"), ("Selkamor", "Yandrofel"), ("Dunverrick", "Pollosto"), ("417", "12"), ("1834", "16"), ("93", "31"), ("18 ", "47 ")):
+        unseen = unseen.replace(a, b)
+    docs = [(k, PROSE + variant(k) + PROSE) for k in (0, 7, n - 1)] + [(5000, PROSE + unseen), (5001, PROSE), (5002, variant(3) + " " + PROSE + variant(5))]
+    assert found(spark, docs, items) == [(0, 0), (7, 7), (n - 1, n - 1), (5002, 3), (5002, 5)]
+    documents, tests = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, question string")
+    assert [(r.doc_id, r.class_id, r.members) for r in leakage.variants(documents, tests).collect()] == [(5000, 0, n)]
+
+
+def test_families_that_share_most_sentences(spark):
+    """Items that differ in one sentence only are no phrasing to each other: a copy is a whole copy."""
+    own = ["Nobody saw the falcon of Marrowgate again.", "A tired juggler kept every receipt.", "Seven owls watched the empty mill.", "The brass kettle sang until midnight.", "Her brother forgot the wooden ladder.", "Old maps covered the northern wall.", "The clerk sealed nine letters twice."]
+    items = [(k, ITEM + " " + tail) for k, tail in enumerate(own)]
+    documents, tests = spark.createDataFrame([(1, items[2][1])], "doc_id long, text string"), spark.createDataFrame(items, "item_id long, question string")
+    got = {r.item_id: r.copied for r in leakage.leaks(documents, tests).collect()}
+    assert got[2] == 1.0 and set(got) == set(range(7))
 
 
 def test_words():
