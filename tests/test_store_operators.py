@@ -49,6 +49,37 @@ def test_orphans(spark, batches):
         assert n == open_, (table, day_text)
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_orphans_in_any_order(spark, seed):
+    """Any split and any order of references, arrivals and removals gives the same orphans; changes add up to them."""
+    rnd = random.Random(seed)
+    targets = [("t", 1, rnd.choice("xyz"), a := rnd.randrange(100), rnd.choice([None, a + rnd.randrange(1, 40)]), 0) for _ in range(12)]
+    refs = [("t", i, 1, rnd.choice("xyzw"), rnd.randrange(120), 0, "") for i in range(60)] + [("t", 99, None, "x", 5, 0, ""), ("t", 98, 1, "x", None, 0, "")]
+    want = brute_orphans(refs, targets)
+    events = [tuple(r) for r in orphans.target_events(spark.createDataFrame(targets, TARGET)).collect()]
+    rows = [("r", r) for r in refs] + [("e", e) for e in events]
+    rnd.shuffle(rows)
+    cuts = sorted(rnd.sample(range(1, len(rows)), 3))
+    parts = [rows[a:b] for a, b in zip([0, *cuts], [*cuts, len(rows)])]
+    batches = [(spark.createDataFrame([r for k, r in part if k == "r"], REF), spark.createDataFrame([r for k, r in part if k == "e"], "ref_table string, store_id int, target string, at long, delta int")) for part in parts]
+    done = orphans.fold_all(batches, 7)
+    assert sorted(((r.ref_table, r.ref_id) for r in done.orphans.collect()), key=str) == want
+    net = {}
+    for r in done.changes.collect():
+        net[r.ref_table, r.ref_id] = net.get((r.ref_table, r.ref_id), 0) + r.change
+    assert sorted((k for k, n in net.items() if n), key=str) == want and set(net.values()) <= {0, 1}
+    whole = orphans.replay(spark.createDataFrame(refs, REF), spark.createDataFrame(targets, TARGET))
+    assert orphans.daily(done).select("ref_table", "day", "open_at_end").collect() == orphans.daily(whole).select("ref_table", "day", "open_at_end").collect()
+
+
+def test_rows_below_the_floor_are_late(spark):
+    event = "ref_table string, store_id int, target string, at long, delta int"
+    ref = lambda *rows: spark.createDataFrame([("t", i, 1, k, at, 0, "") for i, k, at in rows], REF)
+    batches = [(ref((1, "x", 15), (2, "y", 80)), spark.createDataFrame([], event)), (ref((3, "x", 3)), spark.createDataFrame([("t", 1, "x", 10, 1), ("t", 1, "y", 70, 1)], event))]
+    done = orphans.fold_all(batches, 10, [5, 5])
+    assert sorted(r.ref_id for r in done.orphans.collect()) == [1] and {r.ref_table: r.late for r in done.late.collect()} == {"t": 2}
+
+
 def test_slices_divide_a_day():
     day = orphans.DAY
     for length, rows in ((0, 0), (133 * day, 4_000_000), (133 * day, 42_000_000), (10 * day, 10**9), (day, 10**12), (9999 * day, 1)):

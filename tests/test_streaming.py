@@ -1,11 +1,13 @@
 """The streaming forms give what the batch forms give."""
 
+import random
 from datetime import datetime
 
-from pyspark.sql import functions as F
+import pytest
 
-from siltbed.operators import bucket, notify
+from siltbed.operators import bucket, changes, notify
 from siltbed.session import scratch
+from siltbed.sources.store import effective
 from siltbed.streaming import admission, expiry, references, state
 from siltbed.streaming.versions import Versions
 
@@ -30,11 +32,26 @@ def at(seconds):
     return datetime.fromtimestamp(1_700_000_000 + seconds)
 
 
-def test_state_is_maintained(spark):
-    batches = [[(1, 1, 0, b"a", b"1", None, at(0)), (1, 5, 1, b"b", None, None, at(0))], [(1, 4, 0, b"b", b"late", None, at(1)), (1, 6, 0, b"a", b"2", None, at(1))], [(1, 6, 0, b"a", b"2", None, at(2)), (1, 7, 0, b"c", b"3", None, at(2))]]
-    versions = Versions(spark, scratch(spark, "versions"))
-    state.maintain(feed(spark, batches, LOG), versions, scratch(spark, "check")).awaitTermination(120)
-    assert sorted((bytes(r.key), r.seq_id) for r in state.live(versions).collect()) == [(b"a", 6), (b"c", 7)]
+CHANGE = "store_id int, seq_id long, op_type byte, key binary, value binary, txn_id long, rec_type byte"
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_state_is_maintained(spark, seed):
+    """Any order and split of puts, deletes, range deletes, transactions and repetitions gives the batch operator's rows."""
+    rnd = random.Random(seed)
+    rows = []
+    for i in range(1, 70):
+        op = rnd.choice([0, 0, 0, 1, 2, 3])
+        txn = rnd.choice([None, None, 7, 8, 9])
+        rows.append((rnd.choice([1, 1, 2]), i, op, rnd.choice([b"a", b"b", b"c", b"d", b"\x01s", b"", None]), rnd.choice([b"b", b"c", b"d", b"\xff", None]), txn, 0 if txn is None else 2))
+    rows += [(s, 60, 0, b"", None, t, 3) for s, t in ((1, 7), (2, 8), (1, 9))] + rnd.sample(rows, 9)
+    rnd.shuffle(rows)
+    versions = Versions(spark, scratch(spark, "versions"), buckets=4)
+    state.maintain(feed(spark, [rows[:20], rows[20:40], rows[40:]], CHANGE), versions, scratch(spark, "check")).awaitTermination(300)
+    want = changes.current_keys(effective(spark.createDataFrame(rows, CHANGE)))
+    assert sorted((r.store_id, bytes(r.key), r.seq_id) for r in state.live(versions).collect()) == sorted((r.store_id, bytes(r.key), r.seq_id) for r in want.collect())
+    versions.vacuum(1)
+    assert state.live(versions).count() == want.count()
 
 
 def test_notifications(spark):
@@ -70,10 +87,12 @@ def test_references(spark):
         [("t", 1, "x", 10, 1, None), ("t", 1, "y", 10, None, 1), ("t", 1, "y", 11, 2, None)],
         [("t", 1, "x", 20, None, 1), ("t", 1, "x", 21, 3, None)],
         [("t", 1, "y", 30, None, -1), ("t", 1, "y", 31, 4, None)],
+        [("t", 1, "x", 5, None, 1), ("t", 1, "y", 10, None, -1)],
     ]
-    versions = Versions(spark, scratch(spark, "versions"))
-    references.watch(feed(spark, batches, schema), versions, scratch(spark, "check"), slice_micros=5).awaitTermination(180)
-    found = [r.ref_id for n in range(3) for r in versions.read(n, "orphans").collect()]
-    assert sorted(found) == [1, 4]
+    versions = Versions(spark, scratch(spark, "versions"), buckets=4)
+    references.watch(feed(spark, batches, schema), versions, scratch(spark, "check"), slice_micros=5).awaitTermination(300)
+    told = [sorted((r.ref_id, r.change) for r in versions.read(n, "changes").collect()) for n in range(4)]
+    # What came late resolves the first reference and reopens the second.
+    assert told == [[(1, 1)], [], [(4, 1)], [(1, -1), (2, 1)]]
+    assert sorted(r.ref_id for r in references.orphans(versions).collect()) == [2, 4]
     assert {r.ref_table: r.open for r in references.open_references(versions).collect()} == {"t": 2}
-    assert versions.read(1, "state").where(F.col("live") <= 0).count() == 0
