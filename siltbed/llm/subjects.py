@@ -48,7 +48,7 @@ from siltbed.session import scratch, settle, ship, shuffle_partitions
 #: Labelled samples that are collected, at most.
 MOST_SAMPLES = 100_000
 #: Words on the left of a rule, at most.
-DEPTH = 3
+DEPTH = 2
 #: A pattern's least support: so many sentences, and so large a part of all; patterns of three words and more need DEEPER times as much.
 LEAST_COUNT, LEAST_SUPPORT, DEEPER = 3, 1e-5, 4
 #: Balanced confidence that makes a word informative; calibrated confidence of a rule; how much surer a longer rule must be.
@@ -71,6 +71,8 @@ LEAST_DOCUMENTS, LEAST_PART, FREQUENT = 20, 0.001, 0.02
 FOREIGN_WORDS, FOREIGN_PART = 20, 0.1
 #: Words that a shard of the mining may hold.
 SHARD_WORDS = 20_000_000
+#: Words of conditional bases that are counted at once.
+GROW_AT_ONCE = 2_000_000
 
 _CODE = re.compile(r"```.*?(?:```|\Z)|<pre\b.*?</pre>|<code\b.*?</code>|(?:^|<p>)(?: {4}|\t)\s*\S.*$|\bhttps?://\S+", re.S | re.M | re.I)
 _MARKS = re.compile("[\u0300-\u036f\u0483-\u0487\u0591-\u05bd\u0610-\u061a\u064b-\u065f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f]")
@@ -102,24 +104,28 @@ def with_stems(words: list[str]) -> list[str]:
 
 @dataclass
 class Languages:
-    """What is frequent in which language: word to log likelihoods by language. Without languages all texts are in one."""
+    """What is frequent in which language: a row of log likelihoods and one of frequency by language for each word. Without languages all texts are in one."""
 
     names: list[str]
-    words: dict[str, np.ndarray] = field(default_factory=dict)
-    common: dict[str, np.ndarray] = field(default_factory=dict)
+    words: dict[str, int] = field(default_factory=dict)
+    likely: np.ndarray | None = None
+    common: np.ndarray | None = None
     prior: np.ndarray | None = None
 
+    @classmethod
+    def of(cls, names: list[str], documents: np.ndarray, counts: dict[str, np.ndarray]) -> Languages:
+        """counts: documents of each language that have a word."""
+        table = np.array(list(counts.values())).reshape(-1, len(names))
+        likely = np.log((table + 0.5) / (documents + 1))
+        return cls(names, {w: i for i, w in enumerate(counts)}, likely - likely.max(axis=1, keepdims=True), table >= FREQUENT * documents, np.log(documents / documents.sum()))
+
     def mark(self, words: set[str]) -> str:
         """The mark that the words of a text get."""
         if len(self.names) < 2:
             return ""
-        score, hits = self.prior.copy(), np.zeros(len(self.names))
-        for w in words:
-            if (found := self.words.get(w)) is not None:
-                score += found
-                hits += self.common[w]
-        best = int(score.argmax())
-        if len(words) >= FOREIGN_WORDS and hits[best] < FOREIGN_PART * len(words):
+        at = [i for w in words if (i := self.words.get(w)) is not None]
+        best = int((self.prior + self.likely[at].sum(axis=0)).argmax())
+        if len(words) >= FOREIGN_WORDS and self.common[at, best].sum() < FOREIGN_PART * len(words):
             return "@?"
         return "@" + self.names[best]
 
@@ -171,6 +177,8 @@ class Vocabulary:
 
     words: dict[str, int]
     stems: dict[str, int]
+    #: by mark: words met before
+    seen: dict[str, dict[str, tuple[int, int]]] = field(default_factory=dict, repr=False)
 
     @classmethod
     def of(cls, counts: dict[str, int]) -> Vocabulary:
@@ -182,12 +190,21 @@ class Vocabulary:
     def size(self) -> int:
         return 1 + len(self.words) + len(self.stems)
 
-    def encode(self, found: list[list[str]]) -> tuple[list[int], list[int], list[int]]:
-        """Words and stems of all sentences, by number of the word (0 not known), and the sentences' lengths."""
+    def encode(self, found: list[list[str]], mark: str = "") -> tuple[list[int], list[int], list[int]]:
+        """Words (without their mark) and stems of all sentences, by number of the word (0 not known), and the sentences' lengths."""
+        known = self.seen.setdefault(mark, {})
         ids, stems, lens = [], [], []
         for words in found:
-            pairs = sorted((self.words.get(w, 0), self.stems.get(stem(w) or "", 0)) for w in words)
-            pairs = [p for p in pairs if p != (0, 0)]
+            pairs = []
+            for w in words:
+                pair = known.get(w)
+                if pair is None:
+                    if len(known) > 500_000:
+                        known.clear()
+                    pair = known[w] = (self.words.get(w + mark, 0), self.stems.get(stem(w) or "", 0))
+                if pair != (0, 0):
+                    pairs.append(pair)
+            pairs.sort()
             ids += [p[0] for p in pairs]
             stems += [p[1] for p in pairs]
             lens.append(len(pairs))
@@ -265,7 +282,7 @@ class Rules:
             if len(p) > 2:
                 self.extends[number[p[:-1]]] = True
         n = len(self.pattern_of)
-        self.rule_subject, self.rule_sure, self.rule_words, self.off = np.full(n, -1, np.int64), np.zeros(n), np.zeros((n, max(3, DEPTH)), np.int64), np.zeros((n, 2), bool)
+        self.rule_subject, self.rule_sure, self.rule_words, self.off = np.full(n, -1, np.int64), np.zeros(n), np.zeros((n, max([3, *map(len, self.pattern_of)])), np.int64), np.zeros((n, 2), bool)
         for i, p in enumerate(self.pattern_of):
             self.rule_words[i, : len(p)] = p
             if p in self.patterns:
@@ -374,30 +391,40 @@ def _spread(keys: np.ndarray) -> np.ndarray:
     return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
 
 
-def _sums(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys and the sums of n."""
+def _counted(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and how often each is there."""
+    key = np.concatenate(keys) if keys else np.empty(0, np.int64)
     if not len(key):
-        return key, n
-    order = np.argsort(key, kind="stable")
-    key, n = key[order], n[order]
+        return key, key
+    key.sort()
     first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    return key[first], np.add.reduceat(n, first)
+    return key[first], np.diff(np.r_[first, len(key)])
 
 
 def grow(words: np.ndarray, row: np.ndarray, subject: np.ndarray, mine: np.ndarray, size: int, k: int, least: int, depth: int, deeper: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Frequent patterns that end with a word of a shard (mine, by word) and their counts by subject, length by length.
+    """Frequent patterns that end with a word of a shard (mine, by word) and their counts by subject, some words after the others, so that memory is bounded.
 
     Rows hold sorted words. A pattern is grown by the words before its first one in each row it is in: its conditional base.
     """
     place = np.flatnonzero(mine[words])
+    if not len(place):
+        return
+    starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+    before = place - np.repeat(starts, np.diff(np.r_[starts, len(row)]))[place]
+    base = np.bincount(words[place], before, minlength=size)
+    part = (np.cumsum(base) // GROW_AT_ONCE).astype(np.int64)[words[place]]
+    order = np.argsort(part, kind="stable")
+    for at in np.split(place[order], np.flatnonzero(np.diff(part[order])) + 1):
+        yield from _grow(words, row, subject, at, size, k, least, depth, deeper)
+
+
+def _grow(words: np.ndarray, row: np.ndarray, subject: np.ndarray, at: np.ndarray, size: int, k: int, least: int, depth: int, deeper: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     # at: place of the first word of each occurrence; pattern: number of the pattern it is an occurrence of.
-    at, pattern, names = place, words[place], np.arange(size)[:, None]
+    pattern, names = words[at], np.arange(size)[:, None]
     for length in range(2, depth + 1):
         floor = least if length == 2 else least * deeper
-        keys, ats = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        found, found_n = np.empty(0, np.int64), np.empty(0, np.int64)
-        left, d, held = np.arange(len(at)), 1, 0
-        pending: list[np.ndarray] = []
+        keys, ats, pending = [], [], []
+        left, d = np.arange(len(at)), 1
         while len(left):
             left = left[at[left] >= d]
             left = left[row[at[left] - d] == row[at[left]]]
@@ -406,37 +433,35 @@ def grow(words: np.ndarray, row: np.ndarray, subject: np.ndarray, mine: np.ndarr
             if length < depth:
                 keys.append(key)
                 ats.append(at[left] - d)
-            held += len(left)
-            if held > 4_000_000:  # sums are taken now and then, so memory follows distinct patterns
-                found, found_n = _sums(np.concatenate([found, *pending]), np.concatenate([found_n, *(np.ones(len(x), np.int64) for x in pending)]))
-                pending, held = [], 0
             d += 1
-        found, found_n = _sums(np.concatenate([found, *pending]), np.concatenate([found_n, *(np.ones(len(x), np.int64) for x in pending)]))
-        base, first = np.unique(found // k, return_index=True)
-        if not len(base):
+        found, found_n = _counted(pending)
+        if not len(found):
             return
-        total = np.add.reduceat(found_n, first)
-        frequent = total >= floor
-        base = base[frequent]
+        owner = found // k
+        first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+        frequent = np.add.reduceat(found_n, first) >= floor
+        number = np.cumsum(frequent) - 1
+        of = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(found)]))
+        kept = frequent[of]
+        base = owner[first][frequent]
         if not len(base):
             return
-        where = np.searchsorted(base, found // k)
-        ok = np.minimum(where, len(base) - 1)
-        ok = (base[ok] == found // k)
         counts = np.zeros((len(base), k), np.int64)
-        np.add.at(counts, (where[ok], found[ok] % k), found_n[ok])
+        counts[number[of[kept]], found[kept] % k] = found_n[kept]
         names = np.concatenate([(base % size)[:, None], names[base // size]], axis=1)
         yield names, counts
-        if length == depth:
+        # Only patterns frequent enough for a longer one go on, and patterns so sure that nothing can be surer don't.
+        on = counts.sum(axis=1) >= least * deeper
+        if length == depth or not on.any() or len(names) * size * k >= 1 << 62:
             return
-        # Only patterns frequent enough for a longer one go on.
-        enough = counts.sum(axis=1) >= least * deeper
         key, place = np.concatenate(keys), np.concatenate(ats)
-        number = np.minimum(np.searchsorted(base, key), len(base) - 1)
-        on = (base[number] == key) & enough[number]
-        at, pattern = place[on], number[on]
-        if len(names) * size >= 1 << 62:
-            return
+        wanted, numbers = base[on], np.flatnonzero(on)
+        sieve = np.zeros(1 << 20, bool)
+        sieve[_spread(wanted)] = True
+        near = np.flatnonzero(sieve[_spread(key)])
+        spot = np.minimum(np.searchsorted(wanted, key[near]), len(wanted) - 1)
+        hit = wanted[spot] == key[near]
+        at, pattern = place[near[hit]], numbers[spot[hit]]
 
 
 def mine(labelled: DataFrame, subjects: list[str], size: int, words: int, depth: int = DEPTH) -> Rules:
@@ -657,22 +682,16 @@ def parse(documents: DataFrame) -> tuple[DataFrame, Languages]:
     # Bounded: a document has few words, so few are in a fiftieth of a language's documents.
     sizes = F.create_map(*(x for name in names for x in (F.lit(name), F.lit(documents_of[name]))))
     common = counts.where(F.col("lang").isin(names) & F.col("word").isNotNull() & (F.col("n") >= FREQUENT * sizes[F.col("lang")])).select("word").distinct()
-    model, number = Languages(names, prior=np.log(np.array([documents_of[x] for x in names]) / total)), {x: i for i, x in enumerate(names)}
-    size = np.array([documents_of[x] for x in names], float)
-    table: dict[str, np.ndarray] = {}
+    number, table = {x: i for i, x in enumerate(names)}, {}
     for r in counts.where(F.col("lang").isin(names)).join(common, "word").toLocalIterator():
         table.setdefault(r.word, np.zeros(len(names)))[number[r.lang]] = r.n
-    for w, n in table.items():
-        model.words[w] = np.log((n + 0.5) / (size + 1))
-        model.words[w] -= model.words[w].max()
-        model.common[w] = (n >= FREQUENT * size).astype(float)
-    return parsed.where("body is not null").select("doc_id", "body"), model
+    return parsed.where("body is not null").select("doc_id", "body"), Languages.of(names, np.array([documents_of[x] for x in names], float), dict(sorted(table.items())))
 
 
-def _marked(body: str, languages: Languages) -> list[list[str]]:
+def _marked(body: str, languages: Languages) -> tuple[str, list[list[str]]]:
+    """The mark of a document's words, and these by sentence."""
     found = [s.split(" ") for s in body.split("\n") if s]
-    mark = languages.mark(set().union(*found)) if found else ""
-    return [[w + mark for w in s] for s in found] if mark else found
+    return languages.mark(set().union(*found)) if found else "", found
 
 
 def sentences(text: str, languages: Languages) -> list[list[str]]:
@@ -689,14 +708,20 @@ def encode(documents: DataFrame, labelled: list[tuple[str, int]]) -> tuple[Corpu
     own = [(sentences(text, languages), subject) for text, subject in labelled]
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n: Counter = Counter()
+        n: dict[str, Counter] = defaultdict(Counter)
+        total = 0
         for batch in batches:
             for body in batch["body"]:
-                for words in _marked(body, languages):
-                    n.update(words)
-                    n.update({w.partition("@")[0][:STEM] + "*" for w in words if len(w) > STEM and w.find("@") not in range(0, STEM + 1)})
-                    n[""] += 1
-        yield pd.DataFrame(list(n.items()), columns=["item", "n"])
+                mark, found = _marked(body, languages)
+                total += len(found)
+                for words in found:
+                    n[mark].update(words)
+        rows, stems = [(w + mark, c) for mark, of in n.items() for w, c in of.items()], Counter()
+        for of in n.values():
+            for w, c in of.items():
+                if len(w) > STEM:
+                    stems[w[:STEM] + "*"] += c
+        yield pd.DataFrame([*rows, *stems.items(), ("", total)], columns=["item", "n"])
 
     counted = settle(bodies.select("body").mapInPandas(count, "item string, n long").groupBy("item").agg(F.sum("n").alias("n")), scratch(spark, "items"))
     total = (counted.where("item = ''").agg(F.max("n")).first()[0] or 0)
@@ -712,7 +737,7 @@ def encode(documents: DataFrame, labelled: list[tuple[str, int]]) -> tuple[Corpu
     def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         vocabulary, languages = model.value
         for batch in batches:
-            rows = [vocabulary.encode(_marked(body, languages)) for body in batch["body"]]
+            rows = [vocabulary.encode(found, mark) for mark, found in (_marked(body, languages) for body in batch["body"])]
             yield pd.DataFrame({"doc_id": batch["doc_id"], **{c: [r[i] for r in rows] for i, c in enumerate(("ids", "stems", "lens"))}})
 
     encoded = settle(bodies.mapInPandas(number, f"doc_id long, {ENCODED}"), scratch(spark, "encoded"))

@@ -22,9 +22,16 @@ SENTENCE = re.compile(r"(?<=[.!?…])[\"'»”)\]]*\s+|\n\s*\n")
 
 def clean(text: str) -> str:
     """text without markup, unseen characters, look-alike letters, ligatures, and hyphens and apostrophes inside words; case is kept."""
-    text = _UNSEEN.sub("", html.unescape(_TAG.sub(" ", text)))
-    text = unicodedata.normalize("NFKC", text).translate(_LOOKALIKE)
-    return _JOINER.sub("", _BROKEN.sub("", text))
+    # Most texts need few of these steps, and to ask is cheaper than to search.
+    if "<" in text:
+        text = _TAG.sub(" ", text)
+    if "&" in text:
+        text = html.unescape(text)
+    if not text.isascii():
+        text = unicodedata.normalize("NFKC", _UNSEEN.sub("", text)).translate(_LOOKALIKE)
+    if "\n" in text:
+        text = _BROKEN.sub("", text)
+    return _JOINER.sub("", text)
 
 
 @lru_cache(maxsize=100_000)
