@@ -22,6 +22,7 @@ from __future__ import annotations
 import base64
 from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -87,14 +88,37 @@ def _pour(amount: float, children: dict, weight: dict, cap: dict) -> dict:
     return given
 
 
-def budgets(leaves: dict[tuple, int], targets: dict[str, tuple[float, int]], total: float | None = None) -> dict[tuple, float]:
-    """Tokens for each leaf (domain, lang, source). leaves: tokens there are; targets: share and most repeats of a source."""
+@dataclass
+class Node:
+    """What one node of the tree was asked for, could give at most, and was given.
+
+    asked: its weight's part of the whole budget. share: its weight's part of what its parent was given, so share - asked is
+    what came from shortages beside its ancestors; given - share is what came from its siblings' shortages (or, below 0, its own shortage).
+    """
+
+    path: tuple
+    weight: float
+    cap: float
+    asked: float
+    share: float
+    given: float
+
+
+def largest_total(leaves: dict[tuple, int], targets: dict[str, tuple[float, int]]) -> float:
+    """The largest budget at which every source that has documents reaches its target."""
+    there: dict[str, int] = defaultdict(int)
+    for path, tokens in leaves.items():
+        there[path[-1]] += tokens
+    return min((targets[s][1] * n / targets[s][0] for s, n in there.items() if n and targets[s][0] > 0), default=0.0)
+
+
+def budget_tree(leaves: dict[tuple, int], targets: dict[str, tuple[float, int]], total: float | None = None) -> dict[tuple, Node]:
+    """Every node from the root () to the leaves. leaves: tokens there are by (domain, lang, source); targets: share and most repeats of a source."""
     there: dict[str, int] = defaultdict(int)
     for path, tokens in leaves.items():
         there[path[-1]] += tokens
-    most = [targets[s][1] * n / targets[s][0] for s, n in there.items() if n and targets[s][0] > 0]
     if total is None:
-        total = min(most, default=0.0)
+        total = largest_total(leaves, targets)
     weight: dict[tuple, float] = defaultdict(float)
     cap: dict[tuple, float] = defaultdict(float)
     children: dict[tuple, dict] = defaultdict(dict)
@@ -106,14 +130,25 @@ def budgets(leaves: dict[tuple, int], targets: dict[str, tuple[float, int]], tot
             cap[node] += repeats * tokens
             if depth:
                 children[path[: depth - 1]][node] = None
-    given: dict[tuple, float] = {(): min(total, cap[()])}
+    nodes = {(): Node((), weight[()], cap[()], total, total, min(total, cap[()]))}
     queue = [()]
     while queue:
         node = queue.pop()
         if node in children:
-            given |= _pour(given[node], children[node], weight, cap)
+            given, all_weights = nodes[node].given, sum(weight[c] for c in children[node])
+            poured = _pour(given, children[node], weight, cap)
+            for c in children[node]:
+                share = given * weight[c] / all_weights if all_weights else 0.0
+                asked = total * weight[c] / weight[()] if weight[()] else 0.0
+                nodes[c] = Node(c, weight[c], cap[c], asked, share, poured[c])
             queue += list(children[node])
-    return {path: given[path] for path in leaves}
+    return nodes
+
+
+def budgets(leaves: dict[tuple, int], targets: dict[str, tuple[float, int]], total: float | None = None) -> dict[tuple, float]:
+    """Tokens for each leaf."""
+    nodes = budget_tree(leaves, targets, total)
+    return {path: nodes[path].given for path in leaves}
 
 
 def _prefix(docs: DataFrame, wanted: DataFrame, seed: int) -> DataFrame:
@@ -138,12 +173,8 @@ def _prefix(docs: DataFrame, wanted: DataFrame, seed: int) -> DataFrame:
     return both.select("doc_id", "leaf", "tokens", (F.col("epochs") + F.col("more").cast("long")).alias("copies")).where("copies > 0 and tokens > 0")
 
 
-def mix(documents: DataFrame, targets: DataFrame, total: float | None = None, seed: int = 7, vocabulary: str = VOCABULARY) -> tuple[DataFrame, DataFrame]:
-    """The mixture (doc_id, domain, lang, source, tokens, copies), and per source what was wanted and reached.
-
-    documents: doc_id, domain, lang, source (compared without case and blanks), text. targets:
-    source, target_share, max_repeats. total: tokens of the mixture.
-    """
+def counted_leaves(documents: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY) -> tuple[DataFrame, dict[tuple, int], dict[str, tuple[float, int]]]:
+    """Documents with tokens and leaf, tokens by leaf (there are domains times languages times sources), and share and repeats by source."""
     spark = documents.sparkSession
     name = lambda c: F.lower(F.trim(c))
     # The sources with a target are a short, given list.
@@ -155,6 +186,33 @@ def mix(documents: DataFrame, targets: DataFrame, total: float | None = None, se
     counted = with_tokens(docs, vocabulary).groupBy("doc_id").agg(F.max(F.struct(*LEVELS, "tokens")).alias("d")).select("doc_id", "d.*")
     counted = settle(counted.withColumn("leaf", F.concat_ws("\x1f", *LEVELS)), scratch(spark, "tokens"))
     leaves = {tuple(r.leaf.split("\x1f")): r.tokens for r in counted.groupBy("leaf").agg(F.sum("tokens").alias("tokens")).collect() if r.tokens}
+    return counted, leaves, wanted
+
+
+def budget_report(documents: DataFrame, targets: DataFrame, excess: float, vocabulary: str = VOCABULARY) -> DataFrame:
+    """A row for each node of the tree, at a budget of excess times the largest at which no source is short.
+
+    level, domain, lang, source (null below the level), weight, asked, most (what it could give at most), given,
+    short (what it lacks of its share), from_siblings and from_ancestors (what it got of the shortages beside it, and beside its ancestors).
+    """
+    _, leaves, wanted = counted_leaves(documents, targets, vocabulary)
+    nodes = budget_tree(leaves, wanted, excess * largest_total(leaves, wanted))
+    rows = []
+    for path, n in sorted(nodes.items()):
+        names = [*path, *[None] * (len(LEVELS) - len(path))]
+        rows.append((len(path), *names, n.weight, n.asked, n.cap, n.given, max(0.0, n.share - n.given), max(0.0, n.given - n.share), n.share - n.asked))
+    columns = ", ".join(f"{c} double" for c in ("weight", "asked", "most", "given", "short", "from_siblings", "from_ancestors"))
+    return documents.sparkSession.createDataFrame(rows, "level int, " + ", ".join(f"{c} string" for c in LEVELS) + ", " + columns)
+
+
+def mix(documents: DataFrame, targets: DataFrame, total: float | None = None, seed: int = 7, vocabulary: str = VOCABULARY) -> tuple[DataFrame, DataFrame]:
+    """The mixture (doc_id, domain, lang, source, tokens, copies), and per source what was wanted and reached.
+
+    documents: doc_id, domain, lang, source (compared without case and blanks), text. targets:
+    source, target_share, max_repeats. total: tokens of the mixture.
+    """
+    spark = documents.sparkSession
+    counted, leaves, wanted = counted_leaves(documents, targets, vocabulary)
     given = budgets(leaves, wanted, total)
 
     def plan(amounts: dict[tuple, float]) -> DataFrame:

@@ -59,8 +59,27 @@ def p8_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    documents = _table(spark, sf_dir, "documents").select("doc_id", F.col("post_type").alias("domain"), "lang", "source", "text")
-    return mixing.mix(documents, _table(spark, sf_dir, "source_targets"))
+    return mixing.mix(_sources(spark, sf_dir), _table(spark, sf_dir, "source_targets"))
+
+
+#: The stated budget of p7_budget and p7_capped over the largest without shortages, so that repeats bind and shortages are redistributed.
+EXCESS = 1.5
+
+
+def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", F.col("post_type").alias("domain"), "lang", "source", "text")
+
+
+def p7_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each node of the tree was asked for and given, at a budget that some sources can't meet."""
+    return mixing.budget_report(_sources(spark, sf_dir), _table(spark, sf_dir, "source_targets"), EXCESS)
+
+
+def p7_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares reached at that budget."""
+    documents, targets = _sources(spark, sf_dir), _table(spark, sf_dir, "source_targets")
+    _, leaves, wanted = mixing.counted_leaves(documents, targets)
+    return mixing.mix(documents, targets, EXCESS * mixing.largest_total(leaves, wanted))[1]
 
 
 def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +90,7 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mix(spark, sf_dir)[1]
 
 
-QUERIES = {"p3_found": p3_found, "p3_error_rate": p3_error_rate, "p6_found": p6_found, "p6_items": p6_items, "p6_variants": p6_variants, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_composition": p8_composition}
+QUERIES = {"p3_found": p3_found, "p3_error_rate": p3_error_rate, "p6_found": p6_found, "p6_items": p6_items, "p6_variants": p6_variants, "p7_mix": p7_mix, "p7_shares": p7_shares, "p7_budget": p7_budget, "p7_capped": p7_capped, "p8_found": p8_found, "p8_composition": p8_composition}
 SQL: dict[str, str] = {
     "p3_found": """
 WITH rows AS (SELECT store_id, key, delivery_id FROM oplog WHERE rec_type IN (0, 2) AND op_type IN (0, 1, 2)),

@@ -57,6 +57,22 @@ def test_shortage_beyond_siblings_goes_to_ancestors():
     assert given["d", "de", "b"] + given["e", "en", "b"] == pytest.approx(900)
 
 
+def test_the_report_shows_where_shortages_went(spark):
+    docs, _ = corpus(spark)
+    rows = {(r.domain, r.lang, r.source): r for r in mixing.budget_report(docs, targets(spark, small=1), 1.5).collect()}
+    root = rows[None, None, None]
+    assert root.level == 0 and root.given == pytest.approx(min(root.asked, root.most)) and any(r.short > 0 for r in rows.values()) and any(r.from_siblings > 0 for r in rows.values())
+    for path, r in rows.items():
+        mine = [rows[p] for p in rows if rows[p].level == r.level + 1 and p[: r.level] == path[: r.level]]
+        assert r.given <= r.most + 1e-6 and r.given == pytest.approx(r.asked + r.from_ancestors - r.short + r.from_siblings)
+        if mine:
+            # Children share what their parent was given, and no child is short while a sibling below its cap was given nothing of it.
+            assert sum(c.given for c in mine) == pytest.approx(r.given) and sum(c.short for c in mine) == pytest.approx(sum(c.from_siblings for c in mine))
+            assert all(c.given == pytest.approx(c.most) for c in mine if c.short > 1e-6)
+    leaves = [r for r in rows.values() if r.level == 3]
+    assert sum(r.given for r in leaves) == pytest.approx(root.given)
+
+
 def test_budget_never_exceeds_what_is_there():
     given = mixing.budgets({("d", "en", "a"): 10, ("d", "en", "b"): 20}, {"a": (0.5, 2), "b": (0.5, 1)}, 1e9)
     assert given == {("d", "en", "a"): pytest.approx(20), ("d", "en", "b"): pytest.approx(20)}
