@@ -1,8 +1,9 @@
 """Which subscriptions does a change concern? Point events in ranges, and ranges that overlap.
 
-Bounds are inclusive; an empty one is open. Few subscriptions are sent to every task. Many are
-cut into key buckets at sampled bounds: events and subscriptions meet in the buckets they share, and a
-pair counts in the first of these only. Events without a key, and ranges and subscriptions that end before they begin, concern nobody.
+Bounds are inclusive; an empty one is open. A few subscriptions are sent to every task. More are
+cut into key buckets at sampled keys of events and subscriptions: two ranges overlap if the beginning of one lies in the other, so
+points meet ranges in the buckets of a range's ends, or in the aligned blocks of buckets between these, of which a range has few.
+Events without a key, and ranges and subscriptions that end before they begin, concern nobody.
 """
 
 from __future__ import annotations
@@ -13,11 +14,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltbed.operators.cover import sample_cuts
+from siltbed.operators.cover import _blocks, sample_cuts
 from siltbed.session import ship
 
 #: Subscriptions that are sent to every task, at most.
-FEW = 10_000
+FEW = 64
 
 
 def _bounds(key_lo: Column, key_hi: Column) -> Column:
@@ -28,22 +29,40 @@ def _meet(events: DataFrame, subscriptions: DataFrame, last: str) -> DataFrame:
     """events (key to last) with the subscriptions (listener_id, lower, upper) they overlap."""
     subscriptions = subscriptions.select("listener_id", "lower", "upper").where("lower is not null and (length(upper) = 0 or lower <= upper)")
     concerns = _bounds(F.col("key"), F.col(last))
-    if subscriptions.limit(FEW + 1).count() <= FEW:
+    if events.isStreaming or subscriptions.limit(FEW + 1).count() <= FEW:
         return events.join(F.broadcast(subscriptions), concerns)
     ship(events.sparkSession)
-    cuts = sample_cuts(subscriptions.select(F.lit(0).cast("long").alias("space"), F.col("lower").alias("key")))
+    space = F.lit(0).cast("long").alias("space")
+    cuts = sample_cuts(subscriptions.select(space, F.col("lower").alias("key")).unionByName(events.select(space, "key")))
 
-    @F.pandas_udf(T.IntegerType())
+    @F.pandas_udf(T.LongType())
     def bucket(key):
         import pandas as pd
 
-        return pd.Series([bisect_right(cuts, (0, k)) for k in key], dtype="int32")
+        return pd.Series([bisect_right(cuts, (0, k)) for k in key], dtype="int64")
 
-    mine = subscriptions.withColumn("s_first", bucket("lower")).withColumn("s_last", F.when(F.length("upper") == 0, F.lit(len(cuts))).otherwise(bucket("upper")))
-    theirs = events.withColumn("e_first", bucket("key")).withColumn("e_last", bucket(last))
-    mine = mine.withColumn("bucket", F.explode(F.sequence("s_first", "s_last")))
-    theirs = theirs.withColumn("bucket", F.explode(F.sequence("e_first", "e_last")))
-    return theirs.join(mine, "bucket").where(concerns & (F.col("bucket") == F.greatest("s_first", "e_first")))
+    @F.pandas_udf("array<struct<level: int, block: bigint>>")
+    def places(first, last):
+        import pandas as pd
+
+        return pd.Series([[{"level": -1, "block": int(b)} for b in sorted({f, t})] + [{"level": k, "block": i} for k, i in _blocks(f + 1, t)] for f, t in zip(first, last)])
+
+    def within(points: DataFrame, ranges: DataFrame, lo: Column, hi: Column, point: Column, open_end: Column) -> DataFrame:
+        """Points joined with the ranges they lie in."""
+        end = F.when(open_end, F.lit(len(cuts)).cast("long")).otherwise(bucket(hi))
+        placed = ranges.withColumn("_p", F.explode(places(bucket(lo), end))).select(*ranges.columns, "_p.*")
+        levels = max(1, len(cuts).bit_length())
+        at = points.withColumn("_b", bucket(point))
+        at = at.withColumn("level", F.explode(F.sequence(F.lit(-1), F.lit(levels)))).withColumn("block", F.call_function("shiftright", F.col("_b"), F.greatest("level", F.lit(0)))).drop("_b")
+        inside = (lo <= point) & (open_end | (hi >= point))
+        return at.join(placed, ["level", "block"]).where(inside).drop("level", "block")
+
+    begun = within(events, subscriptions, F.col("lower"), F.col("upper"), F.col("key"), F.length("upper") == 0)
+    if last == "key":
+        return begun
+    # The subscription begins inside of the event, behind its first key.
+    later = within(subscriptions, events, F.col("key"), F.col(last), F.col("lower"), F.lit(False)).where(F.col("lower") > F.col("key"))
+    return begun.unionByName(later.select(begun.columns))
 
 
 def point_events(log: DataFrame, subscriptions: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from siltbed.functions.columns import DEL, MERGE, PUT, is_reserved
 from siltbed.functions.ttl import parse_ttl
 from siltbed.operators import backups as lineage
 from siltbed.operators import bucket, compaction, folds, history, log, merkle, notify, ordered, resolve, scan, sketches
+from siltbed.session import scratch, settle
 from siltbed.sources.store import effective, table
 
 #: The moment at which expiry is judged, a sequence id to travel to, and the keys that scans ask for.
@@ -262,7 +263,14 @@ def merkle_validate(spark, d):
 
 
 def merkle_proof(spark, d):
-    return merkle.proof(merkle.leaves(table(spark, d, "sst_records")), 1)
+    """The proofs of all leaves of all files."""
+    return merkle.proofs(merkle.leaves(table(spark, d, "sst_records"))).select("store_id", "file_name", "i", F.posexplode("siblings").alias("level", "sibling"))
+
+
+def merkle_verify(spark, d):
+    """Per file, leaves and proofs that lead to its root."""
+    leaf = settle(merkle.leaves(table(spark, d, "sst_records")), scratch(spark, "leaves"))
+    return merkle.verified(merkle.proofs(leaf), merkle.roots(leaf))
 
 
 def _puts(spark, d):
@@ -417,7 +425,7 @@ range_scan range_scan_page prefix_scan prefix_scan_page range_iterate page_direc
 range_delete_visible range_tombstone_fragments covered_keys_anti_join ttl_visible ttl_remaining ttl_index ttl_expiry_events expire_existing_keys
 get_versions get_version_n versions_top_n version_diff snapshot_versions
 batch_write_atomic batch_delete_atomic wal_committed_txns wal_replay_after_watermark
-flush_summary sstable_metadata list_sstables compaction_candidates compaction_overflow_plan compaction_size_tiered_plan wal_segment_gc compact_partial compact_partial_state compact_full compact_expired merkle_root merkle_validate merkle_proof
+flush_summary sstable_metadata list_sstables compaction_candidates compaction_overflow_plan compaction_size_tiered_plan wal_segment_gc compact_partial compact_partial_state compact_full compact_expired merkle_root merkle_validate merkle_proof merkle_verify
 bloom_params bloom_bits bloom_contains bloom_merge cms_params cms_table cms_estimate cms_merge hll_params hll_registers hll_count hll_merge
 simhash_tokens simhash_fingerprint simhash_distance simhash_hex simhash_near_dups simhash_classes merge_fold sketch_catalog
 notify_point_events notify_range_events token_bucket_admission backup_incremental_files backup_restore_set backup_cascade_closure"""

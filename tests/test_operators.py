@@ -249,19 +249,23 @@ def merkle_root(hashes):
     return hashes[0]
 
 
-@pytest.mark.parametrize("n", [1, 2, 3, 7, 8])
-def test_merkle(spark, n):
+@pytest.mark.parametrize("n,bits", [(1, 10), (7, 10), (2, 1), (3, 1), (8, 2), (13, 2)])
+def test_merkle(spark, n, bits, monkeypatch):
+    monkeypatch.setattr(merkle, "BITS", bits)
     rows = [(1, "f", i, i, 0, b"k%d" % i, None if i % 2 else b"v") for i in range(n)]
     df = spark.createDataFrame(rows, "store_id int, file_name string, entry_no int, seq_id long, op_type byte, key binary, value binary")
     leaf = merkle.leaves(df)
     hashes = [hashlib.sha256(f"{i}|0|{(b'k%d' % i).hex().upper()}|{'-' if i % 2 else '76'}".encode()).hexdigest() for i in range(n)]
     assert merkle.roots(leaf).first().root == merkle_root(hashes)
-    for at in range(n):
+    for at in {0, n // 2, n - 1}:
         h, where = hashes[at], at
         for r in sorted(merkle.proof(leaf, at).collect(), key=lambda r: r.level):
             pair = (r.sibling, h) if where % 2 else (h, r.sibling)
             h, where = hashlib.sha256(bytes.fromhex(pair[0]) + bytes.fromhex(pair[1])).hexdigest(), where // 2
         assert h == merkle_root(hashes)
+    proven = merkle.proofs(leaf)
+    assert [(r.leaves, r.proven) for r in merkle.verified(proven, merkle.roots(leaf)).collect()] == [(n, n)] and merkle.roots(leaf).first().height == (n - 1).bit_length()
+    assert n == 1 or merkle.verified(proven.withColumn("hash", F.sha2("hash", 256)), merkle.roots(leaf)).first().proven == 0
     hurt = merkle.leaves(df.withColumn("value", F.when(F.col("seq_id") == n - 1, F.lit(b"x")).otherwise(F.col("value"))))
     r = merkle.corrupted(leaf, hurt).first()
     assert (r.valid, r.bad_blocks, r.first_bad) == (False, 1, n - 1) and merkle.corrupted(leaf, leaf).first().valid
