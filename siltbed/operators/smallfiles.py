@@ -42,6 +42,8 @@ SMALL_BYTES, SMALL_FILES, FILE_BYTES = 1 << 20, 8, 64 << 20
 BROADCAST_NAMES = 50_000
 #: Bytes of a record besides its key and value.
 OVERHEAD = 24
+#: Codec of the new files.
+CODEC = "zstd"
 #: Milliseconds after which a claim is void.
 LEASE_MS = 6 * 3_600_000
 
@@ -75,6 +77,13 @@ def listed_records(records: DataFrame, listed: DataFrame) -> DataFrame:
     return records.drop("layer").where("seq_id is not null").join(names, ["store_id", "file_name"])
 
 
+def listed_bytes(records: DataFrame, listed: DataFrame) -> DataFrame:
+    """One row: bytes of the records of the listed files. They are summed by file before the listing is joined, so no record is exchanged for it."""
+    width = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in ("key", "value") if c in records.columns), F.lit(OVERHEAD))
+    by_file = records.where("seq_id is not null").groupBy("store_id", "file_name").agg(F.sum(width).alias("bytes"))
+    return by_file.join(listed.select(*PART, "file_name"), ["store_id", "file_name"]).agg(F.sum("bytes").alias("bytes"))
+
+
 def _exists_already(e: Py4JJavaError) -> bool:
     return "FileAlreadyExists" in e.java_exception.getClass().getName()
 
@@ -174,18 +183,16 @@ class CompactedTable:
             names = settle(listed.join(chosen, PART, "left_semi"), f"{self.path}/_tmp/{version}/names")
             rows = listed_records(records, names)
             # The manifest's sizes may be wrong, so the bytes are taken from the records.
-            width = F.coalesce(F.octet_length("key"), F.lit(0)) + F.coalesce(F.octet_length("value"), F.lit(0)) if "value" in records.columns else F.coalesce(F.octet_length("key"), F.lit(0))
-            sizes = rows.groupBy(*PART).agg(F.sum(width + OVERHEAD).alias("bytes"))
-            files = sizes.agg(F.sum(F.ceil(F.col("bytes") / file_bytes)), F.sum("bytes")).first()
+            total = listed_bytes(records, names).first()["bytes"] or 0
             # As many ranges as all the bytes fill; small partitions share one.
-            ranges = max(1, -(-(files[1] or 0) // file_bytes))
+            ranges = max(1, -(-total // file_bytes))
             columns = [c for c in records.columns if c not in (*PART, "file_name", "entry_no", "version")]
             # Copies have one key, so they meet in one range of it, where they are dropped without another exchange.
             spread = rows.select(*PART, *columns).repartitionByRange(ranges, *PART, "key", "seq_id")
             rest = [F.first(c).alias(c) for c in columns if c not in ("key", "seq_id")]
             once = spread.groupBy(*PART, "key", "seq_id").agg(*rest).sortWithinPartitions(*PART, "key", "seq_id")
             data = once.withColumn("version", F.lit(version))
-            data.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("version", *PART).parquet(f"{self.path}/data")
+            data.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", CODEC).partitionBy("version", *PART).parquet(f"{self.path}/data")
             after = fingerprints(listing(relist() if relist else manifest))
             moved = chosen.join(after.select(*PART, F.col("digest").alias("now")), PART, "left").where("now is null or now != digest")
             if gone := moved.limit(5).collect():

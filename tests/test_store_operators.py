@@ -234,6 +234,38 @@ def test_wrong_sizes_in_the_manifest(spark):
     assert 6 <= len(files) <= 12 and sum(r["count"] for r in files) == 400
 
 
+def test_sizing_exchanges_no_records(spark, monkeypatch):
+    """A long listing is joined by merging: whole records are then exchanged twice, by file and by key range, and not for their sizes."""
+    rnd = random.Random(4)
+    records = [(1 + i % 2, f"f{i % 40}", i, i // 3 if i % 5 == 0 else i, 0, b"key%05d" % i, rnd.randbytes(2000), None, "x", 1) for i in range(2000)]
+    records += [*records[:40], (1, "f0", 9, None, 0, b"n", None, None, "x", 1), (1, "f0", 9, 5000, 0, None, None, None, "x", 1), (1, "gone", 1, 1, 0, b"g", None, None, "x", 1)]
+    entries = [(i, 1 + i % 2, 0, f"data/f{i}", 100, None, "k") for i in range(40)] + [(90, 1, 3, "f0", 100, None, "k")]
+    rec, man = spark.createDataFrame(records, RECORD), spark.createDataFrame(entries, ENTRY)
+    folder = scratch(spark, "r")
+    rec.write.parquet(folder)
+    table = smallfiles.CompactedTable(spark, scratch(spark, "t"))
+    kept = [r for r in records if r[3] is not None and r[1] != "gone"]
+    total = sum(24 + len(r[5] or b"") + len(r[6] or b"") for r in [*kept, *(r for r in kept if r[1] == "f0")])
+    assert smallfiles.listed_bytes(rec, smallfiles.listing(man)).first()["bytes"] == total
+    status = spark.sparkContext._jsc.sc().statusStore()
+    written = lambda: sum(status.executorList(False).apply(i).totalShuffleWrite() for i in range(status.executorList(False).size()))
+    monkeypatch.setattr(smallfiles, "BROADCAST_NAMES", 0)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = written()
+        assert table.compact(spark.read.schema(RECORD).parquet(folder), man) == 2
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        moved = written() - before
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert moved < 2.5 * 2000 * 2040
+    data = spark.read.parquet(f"{table.path}/data")
+    got = sorted((r.store_id, r.layer, r.seq_id, bytes(r.key or b""), bytes(r.value or b"")) for r in data.collect())
+    assert got == sorted({(r[0], 0, r[3], r[5] or b"", r[6] or b"") for r in kept})
+    assert data.inputFiles() and all(f.endswith(".zstd.parquet") for f in data.inputFiles())
+
+
 def test_small_files_empty(spark):
     table = smallfiles.CompactedTable(spark, scratch(spark, "t"))
     rec, man = spark.createDataFrame([], RECORD), spark.createDataFrame([], ENTRY)
