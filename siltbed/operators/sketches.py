@@ -119,18 +119,23 @@ def near_fingerprints(prints: DataFrame, most: int = 3, spare: int = 3) -> DataF
 
     Exact: the 64 bits are cut into most + spare blocks, and two prints within the distance
     agree in some choice of `spare` whole blocks (half of the bits for three of six), so buckets are small.
+    A pair comes from the first choice in which it agrees, so it needs no removal of repeats.
     Equal texts are one fingerprint, so copies are never paired.
     """
     blocks = most + spare
     each = prints.select("hi", "lo").where("hi is not null and lo is not null").distinct()
-    bits = F.concat(F.lpad(F.bin("hi"), 32, "0"), F.lpad(F.bin("lo"), 32, "0"))
     edge = [round(64 * i / blocks) for i in range(blocks + 1)]
-    keys = []
-    for chosen in combinations(range(blocks), spare):
-        parts = [F.substring(F.col("bits"), edge[c] + 1, edge[c + 1] - edge[c]) for c in chosen]
-        keys.append(F.concat(F.lit("".join(map(chr, (97 + c for c in chosen)))), *parts))
-    banded = each.withColumn("bits", bits).select("hi", "lo", F.explode(F.array(*keys)).alias("band"))
-    a, b = banded.toDF("a_hi", "a_lo", "band"), banded.toDF("b_hi", "b_lo", "band")
-    less = (F.col("a_hi") < F.col("b_hi")) | ((F.col("a_hi") == F.col("b_hi")) & (F.col("a_lo") < F.col("b_lo")))
-    distance = hamming(F.col("a_hi"), F.col("a_lo"), F.col("b_hi"), F.col("b_lo"))
-    return a.join(b, "band").where(less).withColumn("distance", distance).where(F.col("distance") <= most).drop("band").distinct()
+    signed = lambda x: x - (x >> 63 << 64)
+    masks = [(1 << edge[i + 1]) - (1 << edge[i]) for i in range(blocks)]
+    # A choice is the set of its blocks as bits; the highest bit of a print is flipped, so that longs have the order of (hi, lo).
+    keys = [F.struct(F.lit(sum(1 << i for i in c)).alias("choice"), F.col("x").bitwiseAND(F.lit(signed(sum(masks[i] for i in c)))).alias("part")) for c in combinations(range(blocks), spare)]
+    whole = each.select(F.shiftleft(F.col("hi") - (1 << 31), 32).bitwiseOR(F.col("lo")).alias("x"))
+    banded = whole.select("x", F.explode(F.array(*keys)).alias("k")).select("x", "k.choice", "k.part")
+    # Each print has a row per choice here, which no estimate of sizes knows of: without the hint the table is broadcast.
+    pairs = banded.withColumnRenamed("x", "a").join(banded.withColumnRenamed("x", "b").hint("merge"), ["choice", "part"]).where("a < b")
+    diff = F.col("a").bitwiseXOR(F.col("b"))
+    near = pairs.withColumn("distance", F.bit_count(diff)).where(F.col("distance") <= most)
+    others = sum((F.when(diff.bitwiseAND(F.lit(signed(m))) == 0, F.lit(1 << i)).otherwise(0) for i, m in enumerate(masks)), F.lit(0)).bitwiseXOR(F.col("choice"))
+    first = near.withColumn("others", others).where("others = 0 or (others & -others) > choice")
+    half = lambda x, n: [(F.shiftright(x, 32) + (1 << 31)).alias(f"{n}_hi"), F.col(x).bitwiseAND(F.lit((1 << 32) - 1)).alias(f"{n}_lo")]
+    return first.select(*half("a", "a"), *half("b", "b"), "distance")

@@ -202,6 +202,19 @@ def test_near_fingerprints_is_exact(spark):
     assert got == {(a, b): (a ^ b).bit_count() for i, a in enumerate(distinct) for b in distinct[i + 1 :] if (a ^ b).bit_count() <= 3}
 
 
+def test_near_fingerprints_are_not_broadcast(spark):
+    """Twenty rows of a print are joined, which size estimates miss; each pair comes once, whatever blocks it agrees in."""
+    rnd = random.Random(5)
+    prints = [rnd.getrandbits(64) for _ in range(300)]
+    prints = sorted({*prints, *(p ^ sum(1 << b for b in rnd.sample(range(64), n)) for p in prints[:60] for n in (1, 2, 3, 4))})
+    df = spark.createDataFrame([(p >> 32, p & 0xFFFFFFFF) for p in prints], "hi long, lo long")
+    for most, spare in ((3, 3), (0, 1), (1, 2)):
+        near = sketches.near_fingerprints(df, most, spare)
+        got = sorted((r.a_hi << 32 | r.a_lo, r.b_hi << 32 | r.b_lo, r.distance) for r in near.collect())
+        assert got == [(a, b, (a ^ b).bit_count()) for i, a in enumerate(prints) for b in prints[i + 1 :] if (a ^ b).bit_count() <= most]
+        assert "Broadcast" not in near._jdf.queryExecution().executedPlan().toString()
+
+
 def test_folds_by_kind(spark):
     """Payloads of any length, repeated records, a second base, a delete, operands without a base, an unknown kind."""
     item = lambda i: b"item %d " % i * 40
